@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from sentinela.llm import exact_dedup, quality_rules
+from sentinela.llm import exact_dedup, pii, quality_rules, warc
 
 QUERIES = {
+    "op7_pii": pii.op7_pii,
+    "op10_warc": warc.op10_warc,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLES = {
+    "op10_warc": warc.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
