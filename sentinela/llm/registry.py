@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sentinela.llm import exact_dedup, pii, quality_rules, warc
+from sentinela.llm import bpe, exact_dedup, licences, mixing, pii, quality_rules, warc
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_mixing": mixing.op2_mixing,
+    "op8_licences": licences.op8_licences,
     "op7_pii": pii.op7_pii,
     "op10_warc": warc.op10_warc,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -12,6 +15,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_mixing": mixing.ORACLE,
+    "op8_licences": licences.ORACLE,
     "op10_warc": warc.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
