@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sentinela.llm import bpe, exact_dedup, licences, mixing, pii, quality_rules, warc
+from sentinela.llm import bpe, exact_dedup, licences, mixing, near_dedup, pii, quality_rules, warc
 
 QUERIES = {
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op1_bpe": bpe.op1_bpe,
     "op2_mixing": mixing.op2_mixing,
     "op8_licences": licences.op8_licences,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_near_dedup": near_dedup.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op8_licences": licences.ORACLE,
     "op10_warc": warc.ORACLE,
