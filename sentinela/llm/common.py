@@ -87,10 +87,10 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
             .distinct()
         )
         nxt = written(small, "stars")
-        # Converged when no node that is a centre hangs on another one.
-        open_ = nxt.select(F.col("v").alias("c")).distinct().join(nxt.select(F.col("u").alias("c")), "c", "left_semi")
-        twice = nxt.groupBy("u").count().where("count > 1")
-        done = open_.limit(1).count() == 0 and twice.limit(1).count() == 0
+        # Settled when every node hangs on one centre and no centre hangs on another.
+        centres = nxt.select(F.col("v").alias("n"), F.lit(0).alias("up"))
+        ups = nxt.select(F.col("u").alias("n"), F.lit(1).alias("up")).union(centres.distinct())
+        done = ups.groupBy("n").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
         drop_written(e)
         e = nxt
         if done:

@@ -94,30 +94,49 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     """Verified edges (a, b) between nodes that share a bucket.
 
     ``buckets``: (key, node), several nodes each. ``verify`` takes distinct pairs
-    (a, b), a < b, and returns those that are similar.
+    (a, b), a < b, and returns those that are similar. The number of hubs doubles
+    each round, so n nodes without a link among them take about log2(n) rounds.
     """
-    open_, edges, comp = buckets, None, None
+    open_, edges, comp, hubs_each = buckets, None, None, 1
     while True:
         if comp is None:
             rows = open_.select("key", "node", F.col("node").alias("c"))
         else:
-            rows = open_.join(comp.select("node", "component"), "node", "left").select(
-                "key", "node", F.coalesce("component", "node").alias("c")
-            )
-        # The smallest node first, so that buckets of one class agree on it; then any other.
-        order = F.col("node") if comp is None else F.struct(F.xxhash64("node", "key"), "node")
-        hubs = rows.groupBy("key").agg(
-            F.min(F.struct(order.alias("o"), F.col("node").alias("n"), F.col("c").alias("c"))).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")
-        ).where("lo <> hi")
-        hubs = hubs.select("key", F.col("h.n").alias("hub"), F.col("h.c").alias("hub_c"))
-        left = written(rows.join(hubs, "key").where("node <> hub").select("key", "node", "c", "hub", "hub_c"), "open")
-        pairs = left.where("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            rows = open_.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        # The smallest node first, so that buckets of one class agree on it; then any others.
+        slot = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each)) if hubs_each > 1 else F.lit(0).cast("long")
+        picked = rows.groupBy("key", slot.alias("slot")).agg(
+            F.min(F.struct(F.col("node").alias("n"), F.col("c").alias("c"))).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")
+        )
+        ends = picked.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
+        hubs = written(picked.join(ends, "key").select("key", F.col("h.n").alias("hub"), F.col("h.c").alias("hub_c")), "hubs")
+        still = rows.join(hubs.select("key").distinct(), "key")
+        pairs = (
+            still.join(hubs, "key").where("node <> hub AND c <> hub_c")
+            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        )
         pairs = written(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
+        if pairs.isEmpty():
             return edges
         found = written(verify(pairs), "links")
+        left = written(
+            still.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "open"
+        )
         drop_written(pairs)
         edges = found if edges is None else edges.union(found)
-        if comp is None or found.limit(1).count():
-            comp = written(components(edges), "classes")
-        open_ = left.select("key", "node")
+        if comp is None:
+            comp = written(components(found), "classes")
+        elif not found.isEmpty():
+            comp = merged(comp, found)
+        open_, hubs_each = left, hubs_each * 2
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after some more links: only the old components that they touch are recomputed."""
+    name = lambda side: F.coalesce(F.col(f"c_{side}"), F.col(side))
+    at = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    short = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(name("a").alias("a"), name("b").alias("b"))
+    moved = written(components(short).select(F.col("node").alias("component"), F.col("component").alias("to")), "moved")
+    old = comp.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moved.join(comp.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+    return written(old.union(new), "classes")
