@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sentinela.llm import bpe, exact_dedup, licences, mixing, near_dedup, pii, quality_rules, substring_dedup, warc
+from sentinela.llm import bpe, ctw, exact_dedup, licences, mixing, near_dedup, pii, quality_rules, substring_dedup, warc
 
 QUERIES = {
+    "op3_ctw": ctw.op3_ctw,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op1_bpe": bpe.op1_bpe,
