@@ -201,20 +201,22 @@ def assemble(records: DataFrame) -> DataFrame:
         F.col("concurrent_to").alias("record_id"), page.alias("page_id"), F.struct(F.col("record_id").alias("record_id"), "fields").alias("metadata")
     )
     captures = main.join(request, "record_id", "left").join(metadata, "record_id", "left")
+    # A response stands for itself, so that no null key gathers all of them in one task.
+    captures = captures.withColumn("stands", F.coalesce("refers_to", "record_id"))
     original = captures.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to"),
+        F.col("record_id").alias("stands"),
         F.col("page_id").alias("o_page_id"),
         F.col("payload_bytes").alias("o_bytes"),
         F.col("payload_digest").alias("o_digest"),
     )
-    whole = captures.join(original, "refers_to", "left")
+    whole = captures.join(original, "stands", "left")
     return whole.select(
         "page_id",
         "record_type",
         F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"),
         F.coalesce("payload_digest", "o_digest").alias("payload_digest"),
         "header_digest",
-        F.col("o_page_id").alias("refers_to"),
+        F.when(F.col("record_type") == "revisit", F.col("o_page_id")).alias("refers_to"),
         "request",
         F.struct("record_id", "target_uri", "date", "payload").alias("response"),
         "metadata",
