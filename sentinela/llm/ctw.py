@@ -112,50 +112,83 @@ def kt_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _loggamma(a + 0.5) + _loggamma(b + 0.5) - _loggamma(a + b + 1.0) - np.log(np.pi)
 
 
-class Level:
-    """The nodes of one depth and bit place over sorted windows: one for each context and prefix."""
+def packed_ints(x: np.ndarray) -> bytes:
+    """Sorted or small integers, compressed: differences by byte planes."""
+    d = np.diff(x.astype(np.int64), prepend=np.int64(0))
+    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked_ints(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).reshape(-1))
+
+
+def packed_words(ws: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(ws))
+
+
+def unpacked_words(raw: bytes) -> list[bytes]:
+    joined = zstandard.ZstdDecompressor().decompress(raw)
+    return joined.split(b"\n") if joined else []
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int, bit: int):
+
+class Depth:
+    """The distinct windows of one depth, sorted, so that at each bit place the windows of
+    one node (context and leading bits) stand together."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
         part = codes & np.uint64((1 << (8 * (depth + 1))) - 1)
-        self.key = part >> np.uint64(8 - bit)
-        self.one = ((part >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-        self.node, self.row = np.unique(self.key, return_inverse=True)
-        ones = np.bincount(self.row, np.where(self.one, n, 0), len(self.node))
-        self.b, self.a = ones, np.bincount(self.row, n, len(self.node)) - ones
+        if len(part) and (part[1:] >= part[:-1]).all():
+            first = np.append(True, part[1:] != part[:-1])[: len(part)]
+            self.codes, self.up = part[first], np.cumsum(first) - 1
+        else:
+            self.codes, self.up = np.unique(part, return_inverse=True)
+        self.n = np.bincount(self.up, n, len(self.codes))
 
 
-def weigh(codes: np.ndarray, n: np.ndarray, low: int) -> tuple[list[list[Level]], list[list[np.ndarray]], list[list[np.ndarray]]]:
-    """Levels, ln weighted and ln block probabilities by bit and depth, from DEPTH up to ``low``."""
-    levels, weighted, block = [], [], []
+class Level:
+    """The nodes of one depth at one bit place."""
+
+    def __init__(self, d: Depth, bit: int):
+        key = d.codes >> np.uint64(8 - bit)
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        self.first = np.flatnonzero(new)
+        self.row = np.cumsum(new) - 1
+        self.node = key[self.first]
+        self.one = ((d.codes >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+        total = np.add.reduceat(d.n, self.first) if len(key) else np.zeros(0)
+        self.b = np.add.reduceat(np.where(self.one, d.n, 0), self.first) if len(key) else np.zeros(0)
+        self.a = total - self.b
+
+
+def weigh(codes: np.ndarray, n: np.ndarray, low: int) -> Iterator[tuple[int, list[Depth], list[Level], list[np.ndarray], list[np.ndarray]]]:
+    """For each bit: depths and levels from DEPTH up to ``low``, ln weighted, ln block probability."""
+    depths: list[Depth] = []
+    for depth in range(DEPTH, low - 1, -1):
+        above = depths[-1] if depths else None
+        depths.append(Depth(above.codes if above else codes, above.n if above else n, depth))
     for bit in range(8):
         ls, ws, ks = [], [], []
-        below: Level | None = None
-        for depth in range(DEPTH, low - 1, -1):
-            lv = Level(codes, n, depth, bit)
+        for k, d in enumerate(depths):
+            lv = Level(d, bit)
             kt = kt_block(lv.a, lv.b)
-            if below is None:
+            if k == 0:
                 w = kt
             else:
                 # Each longer context hangs on the context without its first byte.
-                first = np.zeros(len(below.node), np.int64)
-                first[below.row] = lv.row
-                w = np.logaddexp(kt, np.bincount(first, ws[-1], len(lv.node))) - np.log(2.0)
+                parent = lv.row[d.up[ls[-1].first]]
+                w = np.logaddexp(kt, np.bincount(parent, ws[-1], len(lv.node))) - np.log(2.0)
             ls.append(lv)
             ws.append(w)
             ks.append(kt)
-            below = lv
-        levels.append(ls)
-        weighted.append(ws)
-        block.append(ks)
-    return levels, weighted, block
+        yield bit, depths, ls, ws, ks
 
 
 def top_rows(codes: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(bit, depth-1 node, a, b, sum of ln weighted of its depth-2 nodes) of one shard."""
-    levels, weighted, _ = weigh(codes, n, 2)
     out = []
-    for bit in range(8):
-        lv, w = levels[bit][-1], weighted[bit][-1]
+    for bit, _, levels, weighted, _ in weigh(codes, n, 2):
+        lv, w = levels[-1], weighted[-1]
         one = lv.node & np.uint64((1 << (8 + bit)) - 1)
         node, row = np.unique(one, return_inverse=True)
         cols = (node, np.bincount(row, lv.a), np.bincount(row, lv.b), np.bincount(row, w))
@@ -184,18 +217,16 @@ def top_tables(rows: list[tuple[int, int, float, float, float]]) -> list[dict[st
 def code_lengths(codes: np.ndarray, n: np.ndarray, top: list[dict[str, np.ndarray]]) -> np.ndarray:
     """log10 probability of each window's last byte in its context; windows that
     only held-out texts have come with n = 0."""
-    levels, weighted, block = weigh(codes, n, 2)
     total = np.zeros(len(codes))
-    for bit in range(8):
-        p = np.full(len(codes), 0.5)
-        for lv, w, kt in zip(levels[bit], weighted[bit], block[bit], strict=True):
+    for bit, depths, levels, weighted, block in weigh(codes, n, 2):
+        p, below_seen, at_ = np.full(len(codes), 0.5), np.zeros(len(codes), bool), np.arange(len(codes))
+        for k, (d, lv, w, kt) in enumerate(zip(depths, levels, weighted, block, strict=True)):
+            at_ = d.up[at_]  # each window's entry at this depth
             all_ = lv.a + lv.b
-            q = np.where(lv.one, lv.b[lv.row] + 0.5, lv.a[lv.row] + 0.5) / (all_[lv.row] + 1.0)
-            end = np.ones(len(w)) if lv is levels[bit][0] else np.exp(kt - np.log(2.0) - w)
-            seen = all_[lv.row] > 0
-            deeper = np.zeros(len(codes), bool) if lv is levels[bit][0] else below_seen
-            here = np.where(deeper, end[lv.row] * q + (1.0 - end[lv.row]) * p, q)
-            p = np.where(seen, here, p)
+            q = (np.where(lv.one, lv.b[lv.row], lv.a[lv.row]) + 0.5) / (all_[lv.row] + 1.0)
+            end = np.ones(len(w)) if k == 0 else np.exp(kt - np.log(2.0) - w)
+            q, e, seen = q[at_], end[lv.row][at_], (all_ > 0)[lv.row][at_]
+            p = np.where(seen, np.where(below_seen, e * q + (1.0 - e) * p, q), p)
             below_seen = seen
         one = ((codes >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
         for depth, name in ((1, "1"), (0, "0")):
@@ -235,7 +266,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, shards:
         dealt = shard_of(every, shards)
         for s in np.unique(dealt):
             m = dealt == s
-            yield ("gram", int(s), block, every[m].tobytes(), n[m].astype(np.uint32).tobytes())
+            yield ("gram", int(s), block, packed_ints(every[m]), packed_ints(n[m]))
         flat = pa.array([w for t in toks for w in t], pa.binary()).dictionary_encode()
         per = np.array([len(t) for t in toks], np.int64)
         index = flat.indices.to_numpy(zero_copy_only=False)
@@ -246,7 +277,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, shards:
             by.setdefault(xxhash.xxh3_64_intdigest(w) % shards, []).append(k)
         for s, ks in by.items():
             ks.sort(key=vocabulary.__getitem__)
-            yield ("word", s, block, b"\n".join(vocabulary[k] for k in ks), count[ks].astype(np.uint32).tobytes())
+            yield ("word", s, block, packed_words([vocabulary[k] for k in ks]), packed_ints(count[ks]))
         yield ("total", 0, block, b"", np.array([count.sum() + train.sum(), train.sum()], np.int64).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +312,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _merge_grams(so_far: tuple[np.ndarray, np.ndarray], rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([so_far[0], *(np.frombuffer(k, np.uint64) for k, _ in rows)])
-    n = np.concatenate([so_far[1], *(np.frombuffer(c, np.uint32).astype(np.int64) for _, c in rows)])
+    keys = np.concatenate([so_far[0], *(unpacked_ints(k).view(np.uint64) for k, _ in rows)])
+    n = np.concatenate([so_far[1], *(unpacked_ints(c) for _, c in rows)])
     return counted(keys, n)
 
 
@@ -292,9 +323,9 @@ def _merged(packed: DataFrame) -> DataFrame:
     def finish(kind, shard, state):
         if kind == "gram":
             codes, n = state
-            return (kind, shard, codes.tobytes(), n.astype(np.int64).tobytes(), pickle.dumps(top_rows(codes[n > 0], n[n > 0])))
+            return (kind, shard, packed_ints(codes), packed_ints(n), pickle.dumps(top_rows(codes[n > 0], n[n > 0])))
         ws = sorted(state)
-        return (kind, shard, b"\n".join(ws), np.array([state[w] for w in ws], np.int64).tobytes(), pickle.dumps(sum(1 for w in ws if state[w])))
+        return (kind, shard, packed_words(ws), packed_ints(np.array([state[w] for w in ws], np.int64)), pickle.dumps(sum(1 for w in ws if state[w])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Any = None
@@ -319,8 +350,8 @@ def _merged(packed: DataFrame) -> DataFrame:
                 waiting.append((keys, n))
                 if len(waiting) >= 64:  # fold, so that memory follows the distinct windows only
                     state, waiting = _merge_grams(state, waiting), []
-            elif keys:
-                for w, c in zip(keys.split(b"\n"), np.frombuffer(n, np.uint32).tolist(), strict=True):
+            else:
+                for w, c in zip(unpacked_words(keys), unpacked_ints(n).tolist(), strict=True):
                     state[w] = state.get(w, 0) + c
         yield from out()
 
@@ -339,18 +370,18 @@ def _answers(packed: DataFrame, model: DataFrame, top: list[dict[str, np.ndarray
         table: dict[bytes, int] = {}
         for kind, shard, block, keys, n in _rows(batches):
             if block < 0:
-                n = np.frombuffer(n, np.int64)
+                n = unpacked_ints(n)
                 if kind == "gram":
-                    codes = np.frombuffer(keys, np.uint64)
+                    codes = unpacked_ints(keys).view(np.uint64)
                     values = code_lengths(codes, n, top)
                 else:
-                    table = dict(zip(keys.split(b"\n"), n.tolist(), strict=True)) if keys else {}
+                    table = dict(zip(unpacked_words(keys), n.tolist(), strict=True))
                 continue
             if kind == "gram":
-                got = values[np.searchsorted(codes, np.frombuffer(keys, np.uint64))].astype(np.float32)
+                got = values[np.searchsorted(codes, unpacked_ints(keys).view(np.uint64))].astype(np.float32).tobytes()
             else:
-                got = np.array([table[w] for w in keys.split(b"\n")] if keys else [], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([kind]), pa.array([shard], pa.int32()), pa.array([keys if kind == "word" else b""], pa.binary()), pa.array([got.tobytes()], pa.binary())], names=["block", "kind", "shard", "keys", "values"])
+                got = packed_ints(np.array([table[w] for w in unpacked_words(keys)], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([kind]), pa.array([shard], pa.int32()), pa.array([keys if kind == "word" else b""], pa.binary()), pa.array([got], pa.binary())], names=["block", "kind", "shard", "keys", "values"])
 
     dealt = known.unionByName(asked).repartition("kind", "shard").sortWithinPartitions("kind", "shard", "block")
     return dealt.mapInArrow(run, "block bigint, kind string, shard int, keys binary, values binary")
@@ -404,8 +435,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
                 ids, body = pickle.loads(zstandard.ZstdDecompressor().decompress(keys))
             elif kind == "gram":
                 grams_.append((shard, values))
-            elif keys:
-                words_.update(zip(keys.split(b"\n"), np.frombuffer(values, np.int64).tolist(), strict=True))
+            else:
+                words_.update(zip(unpacked_words(keys), unpacked_ints(values).tolist(), strict=True))
         if not ids:
             return
         codes, size = grams(body)
