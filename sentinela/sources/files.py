@@ -38,7 +38,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     plain = ext.isin("txt", "md", "csv")
     rows = files.select(
-        "path", F.when(plain, F.decode("content", F.lit("UTF-8"))).when(ext == "docx", F.lit(None).cast("string"))
+        "path", F.when(plain, F.decode("content", "UTF-8")).when(ext == "docx", F.lit(None).cast("string"))
         .otherwise(F.raise_error(F.concat(F.lit("unsupported file: "), F.col("path"))).cast("string")).alias("text"), "content", ext.alias("ext"),
     )
     texts = rows.where("ext <> 'docx'").select("path", "text")
