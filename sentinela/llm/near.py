@@ -94,19 +94,23 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     """Verified edges (a, b) between nodes that share a bucket.
 
     ``buckets``: (key, node), several nodes each. ``verify`` takes distinct pairs
-    (a, b), a < b, and returns those that are similar. The number of hubs doubles
-    each round, so n nodes without a link among them take about log2(n) rounds.
+    (a, b), a < b, and returns those that are similar. The hub is the most central
+    node, the one whose buckets hold the most others: of copies that were changed
+    apart it is what they were made from, and links to all of them. The number of
+    hubs doubles each round, so n nodes without a link take about log2(n) rounds.
     """
-    open_, edges, comp, hubs_each = buckets, None, None, 1
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    central = written(buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "central")
+    open_, edges, comp, hubs_each = written(buckets.join(central, "node").select("key", "node", "weight"), "weighed"), None, None, 1
     while True:
         if comp is None:
-            rows = open_.select("key", "node", F.col("node").alias("c"))
+            rows = open_.select("key", "node", "weight", F.col("node").alias("c"))
         else:
-            rows = open_.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        # The smallest node first, so that buckets of one class agree on it; then any others.
+            rows = open_.join(comp, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("c"))
+        # One hub first; buckets of one class agree on it. Then one for each slot.
         slot = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each)) if hubs_each > 1 else F.lit(0).cast("long")
         picked = rows.groupBy("key", slot.alias("slot")).agg(
-            F.min(F.struct(F.col("node").alias("n"), F.col("c").alias("c"))).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")
+            F.min(F.struct((-F.col("weight")).alias("w"), F.col("node").alias("n"), F.col("c").alias("c"))).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")
         )
         ends = picked.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
         hubs = written(picked.join(ends, "key").select("key", F.col("h.n").alias("hub"), F.col("h.c").alias("hub_c")), "hubs")
@@ -120,7 +124,7 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
             return edges
         found = written(verify(pairs), "links")
         left = written(
-            still.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "open"
+            still.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node", "weight"), "open"
         )
         drop_written(pairs)
         edges = found if edges is None else edges.union(found)
