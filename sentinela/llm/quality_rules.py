@@ -46,8 +46,8 @@ BASE_POLICY = Policy("base-1", BASE_BITS)
 PRODUCTION = Policy("production-1", 0b111111)
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words covered by three-word windows that occur twice or more."""
+def _window_hashes(words: Column) -> Column:
+    """Hash of every run of three words; none where no run could occur twice."""
     n = F.size(words)
     hashes = F.transform(
         F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
@@ -56,12 +56,6 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 4, F.array().cast("array<bigint>")).otherwise(hashes)
 
 
-def _covered(hashes: Column) -> Column:
-    """Positions 0..n-1 that lie in a window whose hash occurs again."""
-    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return placed
-
-
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     a = docs.select(F.col(id_col).alias(id_col), text.alias("_t"), words_of(F.col(text_col)).alias("_w"))
@@ -70,7 +64,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         id_col,
         "_w",
         lines.alias("_lines"),
-        _repeat_words(F.col("_w")).alias("_h"),
+        _window_hashes(F.col("_w")).alias("_h"),
         (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
     )
     a = a.select(
@@ -84,7 +78,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .otherwise(F.array().cast("array<bigint>"))
         .alias("_h"),
     )
-    a = a.withColumn("_s", _covered(F.col("_h")))
+    # Sorted by hash, equal windows are neighbours; their places, sorted, give the words covered.
+    a = a.withColumn("_s", F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     same = lambda x, i: (x["h"] == F.get("_s", i - 1)["h"]) | (x["h"] == F.get("_s", i + 1)["h"])
     a = a.withColumn(
         "_p", F.sort_array(F.transform(F.filter("_s", same), lambda x: x["i"]))

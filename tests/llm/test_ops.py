@@ -7,6 +7,7 @@ rows repeated whole and extra columns whose names clash with internal ones.
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,7 +81,7 @@ def test_quality_rules(docs, empty):
     got = quality_rules.verdict(common.written(quality_rules.ledger(docs), "ledger"))
     rows = {r["doc_id"]: r for r in got.collect()}
     for r in fixture_rows():
-        w = (r[1] or "").split(" ") if False else [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", r[1] or "") if x]
+        w = re.findall(common.WORD, r[1] or "")
         win = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         cover = {p for i in range(len(w) - 2) if win[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
         x = rows[r[0]]
