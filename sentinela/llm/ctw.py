@@ -259,10 +259,8 @@ def _pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, shards:
         yield ("text", 0, block, zstandard.ZstdCompressor(level=1).compress(pickle.dumps((ids, body))), b"")
         codes, size = grams(body)
         learn = np.repeat(train, size)
-        kept, n_kept = counted(codes[learn])
-        every, _ = counted(codes)
-        n = np.zeros(len(every), np.int64)
-        n[np.searchsorted(every, kept)] = n_kept
+        marked, times = counted(codes << np.uint64(1) | learn.astype(np.uint64))  # one sort for both counts
+        every, n = counted(marked >> np.uint64(1), times * (marked & np.uint64(1)).astype(np.int64))
         dealt = shard_of(every, shards)
         for s in np.unique(dealt):
             m = dealt == s
@@ -440,12 +438,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         if not ids:
             return
         codes, size = grams(body)
-        every, _ = counted(codes)
-        dealt = shard_of(every, shards)
-        value = np.zeros(len(every))
+        hashed = pa.array(codes).dictionary_encode()  # cheaper than looking each window up in sorted ones
+        distinct = hashed.dictionary.to_numpy()
+        order = np.argsort(distinct)
+        dealt = shard_of(distinct[order], shards)
+        value, in_order = np.zeros(len(order)), np.zeros(len(order))
         for shard, v in grams_:
-            value[dealt == np.uint64(shard)] = np.frombuffer(v, np.float32)
-        bits = value[np.searchsorted(every, codes)]
+            in_order[dealt == np.uint64(shard)] = np.frombuffer(v, np.float32)
+        value[order] = in_order
+        bits = value[hashed.indices.to_numpy()]
         cut = np.cumsum(size) - size
         total = np.add.reduceat(bits, cut)
         toks = [t.split(b" ") if t else [] for t in body]
