@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def _text_hashes(text: str | None) -> tuple[np.ndarray, int]:
 
 
 def bands_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, node) of every paragraph and band; node is struct<doc, start>."""
+    """(digest, node, keys) of every paragraph; node is struct<doc, start>, keys has its bands."""
     ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
@@ -75,7 +76,7 @@ def bands_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                keys, docs_, starts = [], [], []
+                keys, digests, docs_, starts = [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     h, n = _text_hashes(text.as_py())
                     first, last = paragraphs(h, n)
@@ -84,17 +85,23 @@ def bands_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
                     spans = np.empty(2 * len(first), np.int64)
                     spans[::2], spans[1::2] = first, last - WIDTH + 1
                     h1 = np.append(h, np.uint64(0))  # reduceat needs an index for the end
-                    key = np.zeros((bands, len(first)), np.uint64)
+                    key = np.zeros((len(first), bands), np.uint64)
                     for k in range(bands * rows):
                         low = np.minimum.reduceat(mixed(h1 * mult[k] + add[k]), spans)[::2]
-                        key[k // rows] = mixed(key[k // rows] + low + np.uint64(k // rows + 1))
-                    keys.append(key.reshape(-1).view(np.int64))
-                    docs_.append(np.full(bands * len(first), doc, np.int64))
-                    starts.append(np.tile(first, bands).astype(np.int32))
+                        key[:, k // rows] = mixed(key[:, k // rows] + low + np.uint64(k // rows + 1))
+                    keys += list(key.view(np.int64))
+                    digests += [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) for a, b in zip(spans[::2], spans[1::2], strict=True)]
+                    docs_ += [doc] * len(first)
+                    starts.append(first)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs_, starts)], names=["key", "doc", "start"])
+                    cols = [
+                        pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(docs_, pa.int64()),
+                        pa.array(np.concatenate(starts).astype(np.int32)), pa.array(keys, pa.list_(pa.int64())),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc", "start", "keys"])
 
-    return src.mapInArrow(run, "key bigint, doc bigint, start int").select("key", F.struct("doc", "start").alias("node"))
+    made = src.mapInArrow(run, "digest bigint, doc bigint, start int, keys array<bigint>")
+    return made.select("digest", F.struct("doc", "start").alias("node"), "keys")
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -138,16 +145,25 @@ def _verify(texts: DataFrame, pairs: DataFrame, threshold: tuple[int, int] = THR
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of the paragraphs whose cluster spans two documents or more."""
-    keyed = bands_of(docs, id_col, text_col)
-    shared = keyed.groupBy("key").agg(F.min("node.doc").alias("lo"), F.max("node.doc").alias("hi")).where("lo <> hi").select("key")
+    every = written(bands_of(docs, id_col, text_col), "paragraphs")
+    # Equal paragraphs are one node, named by the first of them; only different ones are compared.
+    classes = written(
+        every.groupBy("digest").agg(F.min("node").alias("node"), F.max("node.doc").alias("hi"), F.first("keys").alias("keys")), "classes"
+    )
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = written(keyed.join(shared, "key").select("key", "node"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     edges = link(buckets, lambda pairs: _verify(texts, pairs))
+    named = classes.select("digest", "node", "hi")
     if edges is None:
-        return buckets.select("node", F.col("node").alias("component")).limit(0)
-    comp = written(components(edges), "clusters")
-    wide = comp.groupBy("component").agg(F.min("node.doc").alias("lo"), F.max("node.doc").alias("hi")).where("lo <> hi").select("component")
-    return comp.join(wide, "component").select("node", "component")
+        named = named.withColumn("component", F.col("node"))
+    else:
+        comp = written(components(edges), "clusters")
+        named = named.join(comp, "node", "left").select("digest", "node", "hi", F.coalesce("component", "node").alias("component"))
+    wide = named.groupBy("component").agg(F.min("node.doc").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("component")
+    found = written(named.join(wide, "component").select("digest", "component"), "repeats")
+    return every.select("digest", "node").join(found, "digest").select("node", "component")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
