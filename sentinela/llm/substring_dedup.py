@@ -1,23 +1,28 @@
 """Substring dedup by MinHash banding of paragraphs.
 
 Paragraphs are content-defined, so that a passage inside a longer line is found
-wherever it stands: a cut lies where the hash of five words is the least of its
-neighbourhood (``NEAR`` positions), and a paragraph runs from one cut to the next.
-Equal passages are cut alike, at most ``NEAR`` words apart, and the paragraphs of a
-text cover it whole. Those of under ``LEAST`` words are not compared: too little is
-left of them to tell a passage from a phrase.
-
-Every paragraph gets a MinHash of five-word shingles in bands of two values; the
-number of bands is tuned for the recall asked for at the threshold. Paragraphs
-that collide are linked through hubs (``near.link``), not all pairs, confirmed by
-exact Jaccard of their shingles, and clustered by components. Of a cluster that
-spans documents, the paragraph of the smallest (doc_id, start) stays and the others
-are removals.
-
-Defined results: null texts and texts of under ``LEAST`` words have no paragraph; a
-paragraph that repeats only inside one document is not a removal; rows that share
+wherever it stands: a cut lies where the hash of five words is the least of a
+window of ``NEAR`` positions, and a paragraph is the five-word shingles from one cut
+to the next. Equal passages are cut alike, at most ``NEAR`` positions apart, so a
+passage of ``2 * NEAR + 4`` words or more always holds a whole paragraph. No
+paragraph is left out for being short.
+
+Every paragraph of shingles enough to be similar without being equal gets a MinHash
+in bands of two values; the number of bands is tuned for the recall asked for at the
+threshold. Paragraphs that collide are linked through hubs (``near.link``), not all
+pairs, confirmed by exact Jaccard of their shingles, and clustered by components.
+Equal paragraphs are one node.
+
+A cluster that spans documents shows where to look; the true ends come from the
+words. Every run of ``PASSAGE_WORDS`` words within reach of a clustered paragraph is
+compared with all others, so a passage is reported from its first to its last shared
+word. The run of the smallest (doc_id, word) stays and the others are removals; so do
+paragraphs that are similar without being equal.
+
+Defined results: null texts and texts of under five words have no paragraph; a
+passage that repeats only inside one document is not a removal; rows that share
 a doc_id are one document; an empty table gives an empty result; other columns are
-not read. Shingles are compared by 64-bit hashes.
+not read. Shingles and runs of words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,178 +33,197 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.functions.ship import ship
-from sentinela.llm.common import WORD, components, documents, written
-from sentinela.llm.near import link, mixed, permutations, shingles, tune, word_ids, words
+from sentinela.llm.common import WORD, components, documents, drop_written, written
+from sentinela.llm.near import link, shingles, tune, word_ids, words
 
 WIDTH = 5
 THRESHOLD = (80, 100)
-LEAST = 8
-NEAR = 28
+NEAR = 12
 ROWS = 2
 BANDS = tune(0.8, 0.98, ROWS)
-#: A reported passage has at least so many words between its first and last cut, which
-#: lie inside the passage: about ``NEAR`` / 2 words are outside them at either end.
+#: A reported passage has at least so many words that another document has as well.
 PASSAGE_WORDS = 20
 _SPOT = re.compile(WORD)
 
 
-def paragraphs(h: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end word of each paragraph of a text with shingle hashes ``h``."""
-    if n_words < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def paragraphs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First shingle of each paragraph of a text with shingle hashes ``h``, and the one after its last."""
     cuts = [np.array([0])]
     if len(h) > NEAR:
         near = np.lib.stride_tricks.sliding_window_view(h, NEAR)
         cuts.append(near.argmin(axis=1) + np.arange(len(near)))
-    cuts.append(np.array([n_words]))
+    cuts.append(np.array([len(h)]))
     cut = np.unique(np.concatenate(cuts))
-    keep = np.diff(cut) >= LEAST
-    return cut[:-1][keep], cut[1:][keep]
+    return cut[:-1], cut[1:]
 
 
-def _text_hashes(text: str | None) -> tuple[np.ndarray, int]:
-    ids = word_ids(words(text))
-    return shingles(ids, WIDTH), len(ids)
+def _text_ids(text: str | None) -> np.ndarray:
+    return word_ids(words(text))
 
 
-def bands_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(digest, node, keys) of every paragraph; node is struct<doc, start>, keys has its bands."""
+def paragraphs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(digest, node, end, parts) of every paragraph; node is struct<doc, start>. parts has
+    its shingles, none if there are too few to be similar to another paragraph without being equal."""
     ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    few = -(-threshold[0] // (threshold[1] - threshold[0]))  # n of n + 1 shingles reach the threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mult, add = permutations(bands * rows)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                keys, digests, docs_, starts = [], [], [], []
+                digests, docs_, starts, ends, parts, sizes = [], [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    h, n = _text_hashes(text.as_py())
-                    first, last = paragraphs(h, n)
-                    if not len(first):
+                    ids = _text_ids(text.as_py())
+                    if len(ids) < WIDTH:
                         continue
-                    spans = np.empty(2 * len(first), np.int64)
-                    spans[::2], spans[1::2] = first, last - WIDTH + 1
-                    h1 = np.append(h, np.uint64(0))  # reduceat needs an index for the end
-                    key = np.zeros((len(first), bands), np.uint64)
-                    for k in range(bands * rows):
-                        low = np.minimum.reduceat(mixed(h1 * mult[k] + add[k]), spans)[::2]
-                        key[:, k // rows] = mixed(key[:, k // rows] + low + np.uint64(k // rows + 1))
-                    keys += list(key.view(np.int64))
-                    digests += [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) for a, b in zip(spans[::2], spans[1::2], strict=True)]
-                    docs_ += [doc] * len(first)
+                    h = shingles(ids, WIDTH)
+                    first, last = paragraphs(h)
+                    raw = h.tobytes()
+                    digests += [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    docs_.append(np.full(len(first), doc))
                     starts.append(first)
-                if keys:
+                    ends.append(last)
+                    size = last - first
+                    long_ = size >= few
+                    parts.append(h[np.repeat(long_, size)])
+                    sizes.append(np.where(long_, size, 0))
+                if digests:
+                    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
                     cols = [
-                        pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(docs_, pa.int64()),
-                        pa.array(np.concatenate(starts).astype(np.int32)), pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.concatenate(docs_), pa.int64()),
+                        pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64))),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc", "start", "keys"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc", "start", "end", "parts"])
 
-    made = src.mapInArrow(run, "digest bigint, doc bigint, start int, keys array<bigint>")
-    return made.select("digest", F.struct("doc", "start").alias("node"), "keys")
+    made = src.mapInArrow(run, "digest bigint, doc bigint, start int, end int, parts array<bigint>")
+    return made.select("digest", F.struct("doc", "start").alias("node"), "end", "parts")
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Exact Jaccard of paragraph pairs; each pair of documents is read once."""
-    by_doc = pairs.groupBy(F.col("a.doc").alias("da"), F.col("b.doc").alias("db")).agg(
-        F.collect_list("a.start").alias("sa"), F.collect_list("b.start").alias("sb")  # bounded by the two texts
-    )
-    used = by_doc.select(F.col("da").alias("doc")).union(by_doc.select("db")).distinct()
-    own = written(texts.join(used, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    whole = by_doc.join(own.select(F.col("doc").alias("da"), F.col("text").alias("ta")), "da").join(
-        own.select(F.col("doc").alias("db"), F.col("text").alias("tb")), "db"
-    ).select("da", "db", "sa", "sb", "ta", "tb")
-    num, den = threshold
+def _bands(parts: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
+    """The band keys of a paragraph's shingles."""
+    low = lambda k: F.array_min(F.transform(parts, lambda x: F.xxhash64(x, F.lit(k))))
+    return F.array(*[F.xxhash64(F.lit(b), *[low(b * rows + r) for r in range(rows)]) for b in range(bands)])
 
-    def parts(text: str) -> dict[int, np.ndarray]:
-        h, n = _text_hashes(text)
-        return {int(s): h[s : e - WIDTH + 1] for s, e in zip(*paragraphs(h, n), strict=True)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, dict] = (None, {})
-        for rb in batches:
-            out = []
-            for row in range(rb.num_rows):
-                da, db, sa, sb, ta, tb = (c[row].as_py() for c in rb.columns)
-                if last[0] != da:
-                    last = (da, parts(ta))
-                pa_, pb = last[1], parts(tb)
-                for s, t in zip(sa, sb, strict=True):
-                    x, y = np.unique(pa_[s]), np.unique(pb[t])
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if den * both >= num * (len(x) + len(y) - both):
-                        out.append((da, s, db, t))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["da", "sa", "db", "sb"])
-
-    return whole.mapInArrow(run, "da bigint, sa int, db bigint, sb int").select(
-        F.struct(F.col("da").alias("doc"), F.col("sa").alias("start")).alias("a"), F.struct(F.col("db").alias("doc"), F.col("sb").alias("start")).alias("b")
-    )
+def _verify(classes: DataFrame, pairs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The pairs whose shingles have a Jaccard similarity at the threshold."""
+    num, den = threshold
+    side = lambda name: classes.select(F.col("node").alias(name), F.col("parts").alias(f"p_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(den * F.size(F.array_intersect("p_a", "p_b")) >= num * F.size(F.array_union("p_a", "p_b"))).select("a", "b").distinct()
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of the paragraphs whose cluster spans two documents or more."""
-    every = written(bands_of(docs, id_col, text_col), "paragraphs")
+    """(node, end, component, alike) of the paragraphs whose cluster spans two documents or
+    more; alike: the cluster has different paragraphs."""
+    every = written(paragraphs_of(docs, id_col, text_col), "paragraphs")
     # Equal paragraphs are one node, named by the first of them; only different ones are compared.
     classes = written(
-        every.groupBy("digest").agg(F.min("node").alias("node"), F.max("node.doc").alias("hi"), F.first("keys").alias("keys")), "classes"
+        every.groupBy("digest").agg(F.min("node").alias("node"), F.max("node.doc").alias("hi"), F.first("parts").alias("parts")), "classes"
     )
-    keyed = classes.select("node", F.explode("keys").alias("key"))
+    keyed = classes.where("size(parts) > 0").select("node", F.explode(_bands(F.col("parts"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = written(keyed.join(shared, "key").select("key", "node"), "buckets")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    edges = link(buckets, lambda pairs: _verify(texts, pairs))
+    near = written(classes.join(buckets.select("node").distinct(), "node", "left_semi").where("size(parts) > 0").select("node", "parts"), "near")
+    edges = link(buckets, lambda pairs: _verify(near, pairs))
     named = classes.select("digest", "node", "hi")
     if edges is None:
         named = named.withColumn("component", F.col("node"))
     else:
         comp = written(components(edges), "clusters")
         named = named.join(comp, "node", "left").select("digest", "node", "hi", F.coalesce("component", "node").alias("component"))
-    wide = named.groupBy("component").agg(F.min("node.doc").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("component")
-    found = written(named.join(wide, "component").select("digest", "component"), "repeats")
-    return every.select("digest", "node").join(found, "digest").select("node", "component")
+    # Most clusters are one class; only those that span documents go on.
+    wide = named.groupBy("component").agg(F.min("node.doc").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    found = written(named.join(wide.select("component", (F.col("n") > 1).alias("alike")), "component").select("digest", "component", "alike"), "repeats")
+    out = written(every.select("digest", "node", "end").join(found, "digest").select("node", "end", "component", "alike"), "hits")
+    for made in (every, classes, buckets, near, found):
+        drop_written(made)
+    return out
+
+
+def _reach(hits: list[dict], n: int) -> np.ndarray:
+    """Which of a text's ``n`` words a passage that holds one of the paragraphs can have."""
+    step = np.zeros(n + 1, np.int64)
+    for x in hits:
+        step[min(n, max(0, x["s"] - NEAR))] += 1
+        step[min(n, x["e"] + NEAR + WIDTH - 1)] -= 1
+    return np.cumsum(step[:n]) > 0
+
+
+def _windows(own: DataFrame, passage_words: int) -> DataFrame:
+    """(key, doc, t, at): every run of ``passage_words`` words within reach of a clustered paragraph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for doc, t, text, hits in zip(*(c for c in rb.columns), strict=True):
+                ids = _text_ids(text.as_py())
+                if len(ids) < passage_words:
+                    continue
+                outside = np.concatenate([[0], np.cumsum(~_reach(hits.as_py(), len(ids)))])
+                at = np.flatnonzero(outside[passage_words:] == outside[:-passage_words])
+                key = shingles(ids, passage_words)[at].view(np.int64)
+                cols = [pa.array(key), pa.array(np.full(len(at), doc.as_py()), pa.int64()), pa.array(np.full(len(at), t.as_py()), pa.int32()), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "t", "at"])
+
+    return own.mapInArrow(run, "key bigint, doc bigint, t int, at int")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Repeated passages: one row for each maximal run of clustered paragraphs of a document
-    that has ``passage_words`` words or more: id, start, end (code points), n_words,
-    component_doc (smallest document of its clusters), removed (false where the passage stays)."""
+    """Repeated passages: one row for each maximal run of repeated words of a document, in
+    passages of ``passage_words`` words or more: id, start, end (code points), n_words,
+    component_doc (smallest document that has part of it), removed (false where it stays)."""
     found = clusters(docs, id_col, text_col)
     # As many as the document's own repeated paragraphs.
-    mine = found.groupBy(F.col("node.doc").alias("doc")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("node.start").alias("s"), F.col("component.doc").alias("c"), (F.col("node") != F.col("component")).alias("r")))).alias("hits")
+    hit = F.struct(F.col("node.start").alias("s"), F.col("end").alias("e"), F.col("component.doc").alias("c"), (F.col("node") != F.col("component")).alias("r"), "alike")
+    mine = found.groupBy(F.col("node.doc").alias("doc")).agg(F.collect_list(hit).alias("hits"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    own = written(texts.where("text IS NOT NULL").join(mine, "doc").select("doc", "t", "text", "hits"), "own")
+    every = written(_windows(own.select("doc", "t", "text", "hits"), passage_words), "windows")
+    shared = every.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("hi")).where("first.doc <> hi")
+    seen = every.join(shared.select("key", "first"), "key").groupBy("doc", "t").agg(
+        F.collect_set(F.struct("at", F.col("first.doc").alias("c"), (F.col("first") != F.struct("doc", "at")).alias("r"))).alias("seen")  # bounded by the text
     )
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).dropDuplicates(["doc"]).join(mine, "doc").select("doc", "text", "hits")
+    alike = F.filter("hits", lambda x: x["alike"])
+    last = own.dropDuplicates(["doc", "t"]).join(seen, ["doc", "t"], "left").select("doc", "text", alike.alias("alike"), "seen").where("seen IS NOT NULL OR size(alike) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out = []
             for row in range(rb.num_rows):
-                doc, text, hits = (c[row].as_py() for c in rb.columns)
-                h, n = _text_hashes(text)
-                ends = dict(zip(*(x.tolist() for x in paragraphs(h, n)), strict=True))
+                doc, text, alike, seen = (c[row].as_py() for c in rb.columns)
                 spots = [m.span() for m in _SPOT.finditer(text)]
-                for gone in (True, False):
-                    runs: list[list] = []
-                    for hit in hits:
-                        if hit["r"] == gone:
-                            s, e = hit["s"], ends[hit["s"]]
-                            if runs and s - runs[-1][1] < LEAST:  # only a short paragraph between
-                                runs[-1][1], runs[-1][2] = max(e, runs[-1][1]), min(runs[-1][2], hit["c"])
-                            else:
-                                runs.append([s, e, hit["c"]])
-                    out += [(doc, spots[s][0], spots[e - 1][1], e - s, c, gone) for s, e, c in runs if e - s >= passage_words]
+                n = len(spots)
+                spans = [(x["at"], x["at"] + passage_words, x["c"], x["r"]) for x in seen or []]
+                spans += [(x["s"], x["e"] + WIDTH - 1, x["c"], x["r"]) for x in alike if x["e"] + WIDTH - 1 <= n]
+                step, first = np.zeros((2, n + 1), np.int64), np.full(n, np.iinfo(np.int64).max)
+                for s, e, c, gone in spans:
+                    step[int(gone), s] += 1
+                    step[int(gone), e] -= 1
+                    np.minimum(first[s:e], c, out=first[s:e])
+                stays, gone = (np.cumsum(x[:n]) > 0 for x in step)
+                kind = np.where(gone, 2, stays)  # what another document keeps goes
+                edge = np.flatnonzero(np.diff(kind, prepend=0, append=0)).tolist()
+                runs = [(s, e) for s, e in zip(edge, edge[1:], strict=False) if kind[s]]
+                whole: list[list[tuple[int, int]]] = []
+                for x in runs:
+                    if whole and whole[-1][-1][1] == x[0]:
+                        whole[-1].append(x)
+                    else:
+                        whole.append([x])
+                for part in whole:
+                    if part[-1][1] - part[0][0] >= passage_words:
+                        out += [(doc, spots[s][0], spots[e - 1][1], e - s, int(first[s:e].min()), bool(kind[s] == 2)) for s, e in part]
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[id_col, "start", "end", "n_words", "component_doc", "removed"])
 
-    return own.mapInArrow(run, f"`{id_col}` bigint, start bigint, end bigint, n_words bigint, component_doc bigint, removed boolean")
+    return last.mapInArrow(run, f"`{id_col}` bigint, start bigint, end bigint, n_words bigint, component_doc bigint, removed boolean")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

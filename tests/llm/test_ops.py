@@ -199,6 +199,27 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.removals(empty).count() == 0
 
 
+def test_substring_dedup_planted(spark):
+    rng = random.Random(51)
+    vocab = [f"w{k}" for k in range(5000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(150):  # 51 words inside two unrelated texts
+        passage = some(51)
+        for doc in (2 * k, 2 * k + 1):
+            before, after = some(rng.randint(0, 80)), some(rng.randint(0, 80))
+            rows.append((doc, " ".join(before + passage + after)))
+            want[doc] = (len(" ".join([*before, ""])), len(" ".join(before + passage)), 51, 2 * k, doc % 2 == 1)
+    got = defaultdict(list)
+    for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r["doc_id"]].append(tuple(r)[1:])
+    # A neighbouring word may be equal by chance.
+    assert set(got) == set(want) and all(len(x) == 1 for x in got.values())
+    for doc, w in want.items():
+        g = got[doc][0]
+        assert g[0] <= w[0] and g[1] >= w[1] and g[2] <= w[2] + 2 and g[3:] == w[3:], doc
+
+
 def test_ctw_against_recursion(spark, empty):
     rows = [(i, t) for i, t in enumerate([None, "", "abab abba", "abab baba", "banana band", "banana band a", "xyz abab", "ab"])]
     got = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=12, shards=3).collect()}
