@@ -2,8 +2,9 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the next one's
-``docs``. All but the last keep the columns of ``docs``. Kept rows are found by
-doc_id; null ids are kept apart from all others by a null-safe comparison.
+``docs``. All but the last keep the columns of ``docs``. A stage that leaves rows out
+or repeats them first stores them with a number of their own and decides on that, so
+rows that share a doc_id or have none are judged one by one.
 
 Defined results: as in the operators; an empty table passes through every stage.
 """
@@ -18,28 +19,54 @@ from sentinela.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
 from sentinela.llm.common import documents, written
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is kept, one for each id."""
-    ids = kept.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+def _row_of(docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their stored number, and its name."""
+    row = _row_of(docs)
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def _keep(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows whose number is in ``kept``, without it."""
+    return rows.join(kept.select(row), row, "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, row = _rows(docs)
     # The ledger is a stored table; a filter on its expressions would evaluate them again.
-    return _keep(docs, quality_rules.verdict(written(quality_rules.ledger(docs), "ledger")))
+    ledger = written(quality_rules.ledger(rows, id_col=row), "ledger")
+    return _keep(rows, row, quality_rules.verdict(ledger).where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup.dedup(docs))
+    rows, row = _rows(docs)
+    return _keep(rows, row, exact_dedup.dedup(rows, row_col=row).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, row = _rows(docs)
     # Five-word shingles and a similarity of 0.8, as stages take unless told otherwise.
-    return _keep(docs, near_dedup.near_dedup(docs, width=5))
+    found = near_dedup.near_dedup(rows, id_col=row, width=5).select(row, "component_id")
+    # Of a component the smallest doc_id stays, a null one behind every other.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first")
+    kept = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(first)
+    return _keep(rows, row, kept.select(F.col(f"first.{row}").alias(row)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    row = _row_of(docs)
+    # The plan draws by id: the doc_id, and with it the row's number where that isn't its own.
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias(row)).where(F.col(row) > 1)
+    own = F.when(F.col("doc_id").isNull() | F.col(row).isNotNull(), F.concat_ws("#", F.col("doc_id").cast("string"), F.lit(""), F.monotonically_increasing_id().cast("string")))
+    rows = written(docs.join(twice, "doc_id", "left").withColumn(row, own.otherwise(F.col("doc_id").cast("string"))), "rows")
+    return mixing.mix(rows, id_col=row).drop(row).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

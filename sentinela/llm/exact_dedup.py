@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from sentinela.llm.common import SPACE, documents, written
 
 
-def entries_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Index entries: id, code points, key, digest (and the normalised text)."""
+def entries_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, row_col: str | None = None) -> DataFrame:
+    """Index entries: id, uid, code points, key, digest (and the normalised text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("id"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("uid"),
         F.length(text).alias("n_cp"),
         F.regexp_replace(text, SPACE + "+", "").alias("body"),
     )
@@ -72,12 +73,10 @@ def directory(entries: DataFrame, bucket_entries: int = 50_000, max_depth: int =
     return entries.sparkSession.createDataFrame(rows, "cell int, bucket int, local_depth int")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = 50_000, max_depth: int = 12) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = 50_000, max_depth: int = 12, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(entries, index). ``index``: one row for each distinct text, in key order:
     bucket, local_depth, key, link (place in the key's chain), sha, group_size."""
-    entries = written(
-        entries_of(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "entries"
-    )
+    entries = written(entries_of(docs, id_col, text_col, row_col=row_col), "entries")
     slots = directory(entries, bucket_entries, max_depth)
     links = (
         entries_of(docs, id_col, text_col, with_text=True)
@@ -93,9 +92,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return entries, written(index.repartitionByRange("bucket", "key"), "index")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = 50_000, max_depth: int = 12) -> DataFrame:
-    """One row for each input row: id, keep_id, group_size, kept, text_sha256, bucket, link."""
-    entries, index = build_index(docs, id_col, text_col, bucket_entries, max_depth)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = 50_000, max_depth: int = 12, row_col: str | None = None) -> DataFrame:
+    """One row for each input row: id, keep_id, group_size, kept, text_sha256, bucket, link,
+    and ``row_col``, if the rows have a number of their own (bigint, no two equal)."""
+    entries, index = build_index(docs, id_col, text_col, bucket_entries, max_depth, row_col)
     # Longest original text, then smallest id, then one of rows repeated whole.
     best = entries.groupBy("key", "sha").agg(
         F.max(F.struct("n_cp", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("neg"), (-F.col("uid")).alias("nuid"))).alias("best"),
@@ -121,6 +121,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
         F.col("sha").alias("text_sha256"),
         "bucket",
         "link",
+        *([F.col("uid").alias(row_col)] if row_col else []),
     )
 
 

@@ -290,3 +290,59 @@ def test_pipeline_stages_pass_empty_and_small(docs, empty):
             if name != "bpe":
                 assert sorted(d.columns) == sorted(first.columns)
         assert d.count() == 0 if first is empty else d.count() > 0
+
+
+def passes_quality(text):
+    t = text or ""
+    w = re.findall(common.WORD, t)
+    win = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    cover = {p for i in range(len(w) - 2) if win[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(common.WORD, x)]
+    chars = sum(map(len, w))
+    return not (
+        len(w) < 50 or 100 * len(cover) > 50 * len(w) or sum(t.count(c) for c in "#*$%&|<>") > len(w)
+        or chars < 2 * len(w) or chars > 30 * len(w) or 2 * (len(lines) - len(set(lines))) > len(lines)
+    )
+
+
+def test_pipeline_is_brute_force(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(23)
+    a, b, c, d, e, f = (prose(90, rng) for _ in range(6))
+    near = a.split()
+    near[-1] = "changed"
+    rows = [
+        (1, a, "s"), (1, a, "s"), (2, " ".join(near), "s"),  # repeated whole; a near copy
+        (3, b, "s"), (3, "too short", "s"), (3, c, "t"),  # one id, three texts
+        (None, d, "s"), (None, "rejected", "s"), (None, e, "t"), (None, d + " ", "t"), (4, f, None), (5, f.replace(" ", "  ", 3), None), (6, None, "s"),
+    ]
+    first = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    after = {}
+    d_ = first
+    for name, stage in cp.STAGES:
+        d_ = common.written(stage(spark, d_, ""), name)
+        after[name] = Counter(map(tuple, d_.collect()))
+    good = [r for r in rows if passes_quality(r[1])]
+    assert after["quality_rules"] == Counter(good)
+    groups = defaultdict(list)
+    for r in good:
+        groups["".join((r[1] or "").split())].append(r)
+    single = [min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert after["exact_dedup"] == Counter(single)
+    single.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    part = jaccard_components([(k, r[1]) for k, r in enumerate(single)], 5, 100, 80)
+    apart = [r for k, r in enumerate(single) if part[k][1] == k]
+    assert after["near_dedup"] == Counter(apart) and len(apart) < len(single)
+    shown = after["source_mixing"]
+    assert set(shown) == set(apart)
+    # Whole epochs and a part of one more: rows of a source are shown equally often, or once more.
+    for source in {r[2] for r in apart}:
+        times = [n for r, n in shown.items() if r[2] == source]
+        assert max(times) - min(times) <= 1 and max(times) <= 3
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for r, n in shown.items():
+        ids = np.array(enc.encode_ordinary(r[1]), "<u4")
+        want[r[0], len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest()] += n
+    assert after["bpe"] == want
