@@ -6,6 +6,7 @@ rows repeated whole and extra columns whose names clash with internal ones.
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -114,6 +115,21 @@ def test_licences(docs, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licences_full_and_embedded(spark):
+    own = {"MIT": "MIT License\n\nCopyright (c) 2020 X\n\n" + licences._MIT_BODY, "BSD-3-Clause": licences._BSD_HEAD + licences._BSD_THIRD + licences._BSD_TAIL, "ISC": licences._ISC_BODY, "Unlicense": licences._UNLICENSE}
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        path = pathlib.Path("/usr/share/common-licenses", file)
+        if path.exists():
+            own[name] = path.read_text("utf-8")
+    rows = [(f"{name} whole", t) for name, t in own.items()] + [(f"{name} part", f"Some words.\n\nMore of them.\n\n{t}\n\nAnd the end.") for name, t in own.items()]
+    rows.append(("none", "Some words.\n\n" + licences._MIT_BODY.replace("free of charge", "for a fee")))
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name in own:
+        assert got[f"{name} whole"]["whole"] == name and name in got[f"{name} part"]["licences"].split(","), name
+        assert got[f"{name} part"]["whole"] is None
+    assert got["none"]["licences"] == ""
+
+
 def test_bpe_is_the_library(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
