@@ -190,6 +190,16 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_loses_few_pairs_by_batches():
+    n, alive = near_dedup.BATCH, np.ones(1)
+    level = near_dedup.THRESHOLD[0] / near_dedup.THRESHOLD[1]
+    agree = [math.comb(n, k) * level**k * (1 - level) ** (n - k) for k in range(n + 1)]
+    for at in range(n, near_dedup.BANDS * near_dedup.ROWS + 1, n):
+        alive = np.convolve(alive, agree)
+        alive[: near_dedup.pass_mark(at, level, near_dedup.MISS)] = 0
+    assert 1 - alive.sum() < 1e-5  # of pairs exactly at the threshold
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
