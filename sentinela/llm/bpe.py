@@ -100,7 +100,7 @@ class Coder:
         self.ranks = read_ranks(path)
         self.full = regex.compile(pattern)
         self.latin = _latin(pattern)
-        self.beyond = re.compile("[^\x00-ɏ]")
+        self.beyond = re.compile("[^\x00-\x1b\x20-ɏ]")  # U+001C..U+001F are white space to re only
         self.cache: dict[str, bytes] = {}
         self.cache_words, self.chunk_words = cache_words, chunk_words
         left, right, merged = [], [], []

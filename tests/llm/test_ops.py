@@ -143,6 +143,15 @@ def test_bpe_is_the_library(docs, empty):
     assert back == {i: texts[i] for i in back} and bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_separators_are_no_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(29)
+    texts = ["\n\n\x1d"] + ["".join(rng.choices(" \n\t\x0b\r\x85\xa0\x1c\x1d\x1e\x1fa", k=rng.randint(1, 12))) for _ in range(3000)]
+    got = bpe.coder(path, public_tokenizers.PATTERN).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.encode_ordinary(t) for t in texts]
+
+
 def test_mixing(docs, empty):
     p = mixing.plan(docs, max_repetition=2.0)
     shown = Counter(r["doc_id"] for r in p.collect())
