@@ -10,8 +10,9 @@
    normalised text, so copies meet as equal bytes and are combined before the
    shuffle; a hot text leaves each map task once. Different texts under one key
    become links of that key's chain.
-4. Owner tasks hold ranges of buckets; entries find their chain link by key and
-   digest. Spark can split a hot key on the entry side of that join.
+4. Entries find their group by a join on key and digest; Spark can split a hot key
+   on the entry side. The directory only labels and orders the written index: no
+   task owns a bucket, and grouping is a plain hash aggregation.
 
 Defined results: null text counts as empty; all empty or blank texts are equal;
 a null ``doc_id`` ranks behind every other id; of rows repeated whole, exactly one
