@@ -1,30 +1,43 @@
 """What both near-duplicate operators share: word hashes, MinHash, bands, links.
 
 ``link`` finds the connected classes of similar nodes without emitting all pairs
-of a bucket. In each round every open bucket takes one hub, which is compared
-with the bucket's members of other components; the hub then leaves the bucket.
-A bucket closes when all that is left of it is one component. So each pair of
-a bucket is either compared or already connected: no link between classes is
-lost, and a bucket of n similar nodes costs about n comparisons.
+of a bucket. Every bucket has a hub, its most central node, and each member is
+compared with it: n members, n - 1 comparisons. What the hub is not linked with,
+directly or through others, is a stray. While that pays, the most central stray is
+made a hub as well. The rest is settled exactly by differences (``_by_difference``):
+a stray and any member that reach the threshold must share more than half of what
+sets the member apart from the hub, so only members that share a rare part of their
+difference are compared. No link that a bucket holds is lost and nothing is capped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentinela.functions.ship import ship
 from sentinela.llm.common import components, drop_written, written
 
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDS: dict[bytes, int] = {}
-_MOST_WORDS = 500_000
+_MOST_WORDS = 200_000
+PART = 64  # texts hashed at a time, so that their shingles stay in the CPU's cache
+#: Members of a hub that are compared in one run of rows; a larger group has several.
+RUN = 512
+#: A further hub in each bucket pays while this share of its comparisons are links.
+YIELD = 0.1
+#: Rows of node numbers that may be broadcast (8 bytes each); above it Spark shuffles.
+MOST_BROADCAST = 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -64,10 +77,15 @@ def shingles(ids: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(shingles(word_ids(words(text)), width))
+
+
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fixed multipliers and offsets of ``count`` hash functions."""
+    """Fixed odd multipliers and offsets of ``count`` permutations of 32-bit numbers."""
     rng = np.random.Generator(np.random.PCG64(20240501))
-    return rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, np.uint64)
+    return rng.integers(0, 1 << 31, count, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, count, np.uint32)
 
 
 def tune(threshold: float, recall: float, rows: int) -> int:
@@ -90,57 +108,219 @@ def pass_mark(n: int, threshold: float, miss: float) -> int:
     return m
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Verified edges (a, b) between nodes that share a bucket.
+def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values: int) -> DataFrame:
+    """(id, th, n, digest, sig) of each row; th: hash of its text; digest and sig are null
+    for an empty set. A signature value is the top 16 bits of a 32-bit minimum."""
+    ship(rows.sparkSession)
+    src = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mult, add = permutations(values)
+        for batch in batches:
+            for start in range(0, batch.num_rows, PART):
+                part = batch.slice(start, PART)
+                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
+                size = np.array([len(s) for s in sets])
+                some = np.flatnonzero(size)
+                sig = np.zeros((len(some), values), np.uint16)
+                if len(some):
+                    flat = (np.concatenate([sets[i] for i in some]) >> np.uint64(32)).astype(np.uint32)
+                    cut = np.cumsum(size[some]) - size[some]
+                    buf = np.empty_like(flat)
+                    for k in range(values):
+                        np.multiply(flat, mult[k], out=buf)
+                        np.add(buf, add[k], out=buf)
+                        sig[:, k] = np.minimum.reduceat(buf, cut) >> np.uint32(16)
+                sigs, digests = [None] * len(sets), [None] * len(sets)
+                for j, i in enumerate(some):
+                    sigs[i] = sig[j].tobytes()
+                    digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                cols = [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "n", "digest", "sig"])
+
+    return src.mapInArrow(run, "id bigint, th bigint, n bigint, digest binary, sig binary")
+
+
+def band_keys(sig: Column, rows: int, bands: int) -> Column:
+    """The band keys of a signature."""
+    return F.array(*[F.xxhash64(F.lit(b), F.substring(sig, 1 + 2 * rows * b, 2 * rows)) for b in range(bands)])
+
+
+class Linker:
+    """Compares nodes. ``nodes``: (node, n, sig, and the columns ``at`` that find its text);
+    ``texts``: (columns ``at``, text)."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, at: list[str], width: int, threshold: tuple[int, int], batch: int, miss: float):
+        self.nodes, self.texts, self.at = nodes, texts, at
+        self.width, self.threshold, self.batch, self.miss = width, threshold, batch, miss
+
+    def load(self, used: DataFrame) -> DataFrame:
+        """Store size, signature and text of the nodes that share a bucket with another."""
+        own = _small(self.nodes, used, "node")
+        texts = _small(self.texts, own.drop("n", "sig"), *self.at).dropDuplicates(["node"]).select("node", "text")
+        self.own = written(texts.join(own.select("node", "n", "sig"), "node"), "compared")
+        return self.own
+
+    def _runs(self, pairs: DataFrame, *cols: str) -> DataFrame:
+        """The pairs (hub, node, ...) as sorted runs: a hub's row, then up to about RUN of its
+        members. Each pair moves one text, whatever the size of the hub's group."""
+        count = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("k"))
+        dealt = pairs.join(count, "hub").withColumn("run", F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / RUN)).cast("int")).drop("k")
+        members = dealt.join(self.own, "node").select("hub", "run", F.lit(1).alias("member"), "node", "n", "sig", "text", *cols)
+        heads = dealt.select("hub", "run").distinct().join(self.own.withColumnRenamed("node", "hub"), "hub")
+        heads = heads.select("hub", "run", F.lit(0).alias("member"), F.col("hub").alias("node"), "n", "sig", "text", *[F.lit(None).cast(dict(dealt.dtypes)[c]).alias(c) for c in cols])
+        return heads.union(members).repartition("hub", "run").sortWithinPartitions("hub", "run", "member")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs (hub, node) that reach the threshold: sizes first, then the
+        signatures batch by batch, then the full sets."""
+        num, den = self.threshold
+        width, batch, level, miss = self.width, self.batch, num / den, self.miss
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks: list[tuple[int, int, int]] = []
+            n_hub, sig_hub, text_hub, set_hub = 0, np.zeros(0, np.uint16), "", None
+            for rb in batches:
+                a, b = [], []
+                hubs, member, nodes, sizes = (rb.column(k).to_pylist() for k in (0, 2, 3, 4))
+                for k in range(rb.num_rows):
+                    sig = np.frombuffer(rb.column(5)[k].as_py(), np.uint16)
+                    if not member[k]:
+                        n_hub, sig_hub, text_hub, set_hub = sizes[k], sig, rb.column(6)[k], None
+                        marks = marks or [(at, at + batch, pass_mark(min(at + batch, len(sig)), level, miss)) for at in range(0, len(sig), batch)]
+                        continue
+                    if den * min(sizes[k], n_hub) < num * max(sizes[k], n_hub):
+                        continue
+                    agree, same = 0, sig == sig_hub
+                    for low, high, mark in marks:
+                        agree += int(np.count_nonzero(same[low:high]))
+                        if agree < mark:
+                            break
+                    else:
+                        if set_hub is None:
+                            set_hub = shingle_set(text_hub.as_py(), width)
+                        x = shingle_set(rb.column(6)[k].as_py(), width)
+                        both = len(np.intersect1d(set_hub, x, assume_unique=True))
+                        if den * both >= num * (len(x) + len(set_hub) - both):
+                            a.append(min(hubs[k], nodes[k]))
+                            b.append(max(hubs[k], nodes[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return self._runs(pairs).mapInArrow(run, "a bigint, b bigint")
+
+    def differences(self, pairs: DataFrame) -> DataFrame:
+        """(hub, node, c, far, parts, half, full): what only one of hub and member has, and how
+        many of its rarest parts a partner must touch (see ``_by_difference``)."""
+        num, den = self.threshold
+        width, less, all_ = self.width, den - num, den + num
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hub = np.zeros(0, np.uint64)
+            for rb in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
+                member, parts, half, full, keep = rb.column(2).to_pylist(), [], [], [], []
+                for k in range(rb.num_rows):
+                    x = shingle_set(rb.column(6)[k].as_py(), width)
+                    if not member[k]:
+                        hub = x
+                        continue
+                    d = np.setxor1d(x, hub, assume_unique=True)
+                    least = (all_ * len(d) + less * (len(hub) - len(x))) // (2 * all_) + 1
+                    far = max(1, -((less * (len(hub) + len(x)) - all_ * len(d)) // (2 * all_)))
+                    keep.append(k)
+                    parts.append(d.view(np.int64))
+                    half.append(max(0, len(d) - least + 1))
+                    full.append(max(0, len(d) - far + 1))
+                some = rb.take(pa.array(keep, pa.int64()))
+                cols = [some.column(0), some.column(3), some.column(7), some.column(8), pa.array(parts, pa.list_(pa.int64())), pa.array(half, pa.int32()), pa.array(full, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["hub", "node", "c", "far", "parts", "half", "full"])
+
+        return self._runs(pairs, "c", "far").mapInArrow(run, "hub bigint, node bigint, c bigint, far boolean, parts array<bigint>, half int, full int")
+
 
-    ``buckets``: (key, node), several nodes each. ``verify`` takes distinct pairs
-    (a, b), a < b, and returns those that are similar. The hub is the most central
-    node, the one whose buckets hold the most others: of copies that were changed
-    apart it is what they were made from, and links to all of them. The number of
-    hubs doubles each round, so n nodes without a link take about log2(n) rounds.
+def _small(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows of ``df`` with their keys; the keys are broadcast if they are counted to be few."""
+    return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, list(on))
+
+
+def _by_difference(linker: Linker, open_: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """Pairs (hub, node) of members of open buckets that may still be similar.
+
+    ``open_``: (hub, node, c, far), c the class so far, far if it isn't the hub's. Let
+    d(x) be the symmetric difference of member and hub. Similarity t of x and y means
+    |x ^ y| <= (|x| + |y|)(1-t)/(1+t), and |x ^ y| = |d(x)| + |d(y)| - 2 |d(x) & d(y)|. As x is
+    far, |d(x)| > (|x| + |hub|)(1-t)/(1+t). Both together: x and y share more than
+    (|d(y)| + (|hub| - |y|)(1-t)/(1+t)) / 2 parts, so, in any one order of the parts, one
+    of the first ``half`` of d(y) and of the first ``full`` of d(x). The order is by rarity.
     """
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    central = written(buckets.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "central")
-    open_, edges, comp, hubs_each = written(buckets.join(central, "node").select("key", "node", "weight"), "weighed"), None, None, 1
-    while True:
-        if comp is None:
-            rows = open_.select("key", "node", "weight", F.col("node").alias("c"))
-        else:
-            rows = open_.join(comp, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("c"))
-        # One hub first; buckets of one class agree on it. Then one for each slot.
-        slot = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each)) if hubs_each > 1 else F.lit(0).cast("long")
-        picked = rows.groupBy("key", slot.alias("slot")).agg(
-            F.min(F.struct((-F.col("weight")).alias("w"), F.col("node").alias("n"), F.col("c").alias("c"))).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")
-        )
-        ends = picked.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key")
-        hubs = written(picked.join(ends, "key").select("key", F.col("h.n").alias("hub"), F.col("h.c").alias("hub_c")), "hubs")
-        still = rows.join(hubs.select("key").distinct(), "key")
-        pairs = (
-            still.join(hubs, "key").where("node <> hub AND c <> hub_c")
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        )
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            return edges
-        found = written(verify(pairs), "links")
-        left = written(
-            still.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node", "weight"), "open"
-        )
-        drop_written(pairs)
-        edges = found if edges is None else edges.union(found)
+    made.append(diff := written(linker.differences(open_), "differences"))
+    each = diff.select("hub", "node", F.explode("parts").alias("part"))
+    rare = each.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("f"))
+    ordered = each.join(rare, ["hub", "part"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("f", "part"))).alias("o"))  # bounded by two texts
+    spots = diff.drop("parts").join(ordered, ["hub", "node"]).select("hub", "node", "c", "far", "half", "full", F.posexplode("o").alias("at", "o"))
+    made.append(spots := written(spots.where("o.f > 1 AND at < IF(far, greatest(half, full), half)").select("hub", "node", "c", "far", F.col("o.part").alias("part"), (F.col("at") < F.col("half")).alias("early")), "parts"))
+    x = spots.where("far").select("hub", "part", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("early").alias("early_x"))
+    y = spots.where("early").select("hub", "part", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("far").alias("far_y"))
+    return x.join(y, ["hub", "part"]).where("x <> y AND cx <> cy AND (NOT far_y OR NOT early_x OR x < y)").select(
+        F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")
+    ).distinct()
+
+
+def link(keyed: DataFrame, linker: Linker) -> DataFrame | None:
+    """(node, component) of the nodes with a link; None if there is none.
+
+    ``keyed``: (key, node), the band keys of every node. Files on the way are deleted.
+    """
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        made.append(written(df, tag))
+        return made[-1]
+
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+    buckets = kept(keyed.join(shared.select("key", "k"), "key").select("key", "node", "k"), "buckets")
+    central = buckets.groupBy("node").agg(F.sum("k").alias("weight"))
+    made.append(linker.load(central.select("node")))
+    rows = kept(buckets.select("key", "node").join(central, "node"), "weighed")
+    comp, edges, first, tried = None, [], None, []
+
+    def classed(df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the class so far of its column ``name``."""
         if comp is None:
-            comp = written(components(found), "classes")
-        elif not found.isEmpty():
-            comp = merged(comp, found)
-        open_, hubs_each = left, hubs_each * 2
-
-
-def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after some more links: only the old components that they touch are recomputed."""
-    name = lambda side: F.coalesce(F.col(f"c_{side}"), F.col(side))
-    at = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    short = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(name("a").alias("a"), name("b").alias("b"))
-    moved = written(components(short).select(F.col("node").alias("component"), F.col("component").alias("to")), "moved")
-    old = comp.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    new = moved.join(comp.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
-    return written(old.union(new), "classes")
+            return df.withColumn(f"c_{name}", F.col(name))
+        found = comp.select(F.col("node").alias(name), F.col("component").alias("_c"))
+        return df.join(found, name, "left").withColumn(f"c_{name}", F.coalesce("_c", name)).drop("_c")
+
+    def mixed_only(df: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold two classes."""
+        still = df.groupBy("key").agg(F.min("c_node").alias("lo"), F.max("c_node").alias("hi")).where("lo <> hi").select("key")
+        return df.join(still, "key", "left_semi")
+
+    def compare(pairs: DataFrame) -> tuple[int, int]:
+        nonlocal comp
+        pairs = kept(pairs, "pairs")
+        found = kept(linker.similar(pairs), "links")
+        tries, links = pairs.count(), found.count()
+        if links:
+            edges.append(found)
+            comp = written(components(reduce(DataFrame.union, edges)), "classes")
+        return tries, links
+
+    while True:
+        now = kept(mixed_only(classed(rows, "node")), "open") if tried else classed(rows, "node")
+        strays = now
+        for was in tried:  # classes that have had a hub in the bucket need no other
+            strays = strays.join(classed(was, "hub").select("key", F.col("c_hub").alias("c_node")), ["key", "c_node"], "left_anti")
+        best = F.min(F.struct((-F.col("weight")).alias("w"), "node", "c_node")).alias("h")
+        hubs = kept(strays.groupBy("key").agg(best).select("key", F.col("h.node").alias("hub"), F.col("h.c_node").alias("c_hub")), "hubs")
+        tries, links = compare(now.join(hubs, "key").where("node <> hub AND c_node <> c_hub").select("hub", "node").distinct())
+        tried.append(hubs.select("key", "hub"))
+        if links == 0 or links < YIELD * tries:
+            break
+        rows = now.select("key", "node", "weight")
+    # What is left open is compared by differences from the bucket's first hub.
+    left = mixed_only(classed(classed(now.select("key", "node").join(tried[0], "key"), "node"), "hub")).where("node <> hub")
+    left = kept(left.select("hub", "node", F.col("c_node").alias("c"), (F.col("c_node") != F.col("c_hub")).alias("far")).distinct(), "open")
+    compare(_by_difference(linker, left, made))
+    for df in made:
+        drop_written(df)
+    return comp

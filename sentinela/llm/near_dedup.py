@@ -1,159 +1,63 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. Each document becomes a set of two-word shingles, a MinHash signature of 160
-   values and a digest of its set. Documents of equal sets are one class, so a
+1. Each document becomes a set of two-word shingles, a MinHash signature of 216
+   values and a digest of its set. Documents of equal sets are one node, so a
    hot group of copies is one node from here on.
-2. 32 bands of 5 values: a pair at the threshold shares a band with probability
-   1 - 3e-6. Buckets are grouped by key; hubs instead of all pairs (``near.link``).
-3. A candidate's signatures are compared 32 values at a time. After each batch
+2. 36 bands of 6 values: a pair at the threshold shares a band with probability
+   1 - 2e-5. Members of a bucket are compared with hubs instead of each other, and
+   what no hub settles by an exact filter on differences (``near.link``).
+3. A candidate's signatures are compared 36 values at a time. After each batch
    the pair is dropped if the posterior probability that its similarity reaches
    the threshold is below ``MISS``; survivors are confirmed on their full sets.
 4. Links become components; the smallest doc_id of a component stays.
 
-Defined results: null text and text without words have an empty set and are
-linked with nothing; a single word is its own shingle; rows that share a doc_id
-are one document of their texts' classes; an empty table gives an empty result;
-other columns are not read. Sets are compared by 64-bit shingle hashes.
+Defined results: ids are integers. Null text and text without words have an empty set
+and are linked with nothing; a single word is its own shingle; rows that share a doc_id
+are judged each by its own text; a null doc_id is no smallest id unless its group has no
+other, and isn't kept beside one; an empty table gives an empty result; other columns are
+not read. Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinela.functions.ship import ship
-from sentinela.llm.common import components, documents, written
-from sentinela.llm.near import link, pass_mark, permutations, shingles, tune, word_ids, words
+from sentinela.llm.common import documents, drop_written, written
+from sentinela.llm.near import Linker, band_keys, link, signatures, tune
 
 WIDTH = 2
 THRESHOLD = (80, 100)  # as a fraction, so that the exact test is in integers
-ROWS = 5
-BANDS = tune(0.8, 1 - 3e-6, ROWS)
-BATCH = 32
+ROWS = 6
+BANDS = tune(0.8, 1 - 2e-5, ROWS)
+BATCH = 36
 MISS = 1e-6
-PART = 64  # documents hashed at a time, so that their shingles stay in the CPU's cache
-
-
-def doc_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    return np.unique(shingles(word_ids(words(text)), width))
-
-
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, values: int = BANDS * ROWS) -> DataFrame:
-    """(id, n_shingles, digest, sig); digest and sig are null for an empty set."""
-    ship(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mult, add = permutations(values)
-        for batch in batches:
-            for start in range(0, batch.num_rows, PART):
-                part = batch.slice(start, PART)
-                sets = [doc_set(t.as_py(), width) for t in part.column(1)]
-                size = np.array([len(s) for s in sets])
-                some = np.flatnonzero(size)
-                sig = np.zeros((len(some), values), np.uint32)
-                if len(some):
-                    flat = np.concatenate([sets[i] for i in some])
-                    cut = np.cumsum(size[some]) - size[some]
-                    buf = np.empty_like(flat)
-                    for k in range(values):
-                        np.multiply(flat, mult[k], out=buf)
-                        np.add(buf, add[k], out=buf)
-                        sig[:, k] = np.minimum.reduceat(buf, cut) >> np.uint64(32)
-                sigs, digests = [None] * len(sets), [None] * len(sets)
-                for j, i in enumerate(some):
-                    sigs[i] = sig[j].tobytes()
-                    digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())],
-                    names=["id", "n_shingles", "digest", "sig"],
-                )
-
-    return src.mapInArrow(run, "id bigint, n_shingles bigint, digest binary, sig binary")
-
-
-def likely(pairs: DataFrame, threshold: float, batch: int = BATCH, miss: float = MISS) -> DataFrame:
-    """(a, b) of the pairs (a, b, sig_a, sig_b) that no batch of their signatures rules out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            if not rb.num_rows:
-                continue
-            sig = [np.frombuffer(b"".join(rb.column(k).to_pylist()), np.uint32).reshape(rb.num_rows, -1) for k in (2, 3)]
-            alive, agree = np.arange(rb.num_rows), np.zeros(rb.num_rows, np.int64)
-            for at in range(0, sig[0].shape[1], batch):
-                x, y = (s[alive, at : at + batch] for s in sig)
-                agree[alive] += (x == y).sum(axis=1)
-                alive = alive[agree[alive] >= pass_mark(min(at + batch, sig[0].shape[1]), threshold, miss)]
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(alive)) for c in rb.columns[:2]], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
-
-
-def confirmed(pairs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(a, b) of the pairs (a, b, text_a, text_b) that reach the threshold on full sets."""
-    num, den = threshold
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for rb in batches:
-            ok = []
-            for k, (a, ta, tb) in enumerate(zip(rb.column(0), rb.column(2), rb.column(3), strict=True)):
-                if last[0] != a.as_py():
-                    last = (a.as_py(), doc_set(ta.as_py(), width))
-                x, y = last[1], doc_set(tb.as_py(), width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    ok.append(k)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(ok, pa.int64())) for c in rb.columns[:2]], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a bigint, b bigint")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD,
+    rows: int = ROWS, bands: int = BANDS, batch: int = BATCH, miss: float = MISS,
+) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept."""
-    level = threshold[0] / threshold[1]
     every = written(signatures(docs, id_col, text_col, width, bands * rows), "signatures")
-    # One node for each distinct set, named by its smallest id.
-    classes = written(
-        every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "sets"
-    )
-    slot = [F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * rows * b, 4 * rows)) for b in range(bands)]
-    keyed = classes.select("node", F.explode(F.array(*slot)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = written(keyed.join(shared, "key").select("key", "node"), "buckets")
-    sigs = classes.select("node", "n", "sig")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda df, name, *cols: df.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-        # Sets of too different sizes can't reach the threshold; only sizes travel for that.
-        sized = pairs.join(side(sigs, "a", "n"), "a").join(side(sigs, "b", "n"), "b")
-        fit = sized.where(threshold[1] * F.least("n_a", "n_b") >= threshold[0] * F.greatest("n_a", "n_b")).select("a", "b")
-        with_sig = fit.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").select("a", "b", "sig_a", "sig_b")
-        good = written(likely(with_sig, level), "likely")
-        used = good.select(F.col("a").alias("node")).union(good.select("b")).distinct()
-        own = written(texts.join(used, "node", "left_semi"), "texts")
-        with_text = good.join(side(own, "a", "text"), "a").join(side(own, "b", "text"), "b").select("a", "b", "text_a", "text_b")
-        return confirmed(with_text, width, threshold).distinct()
-
-    edges = link(buckets, verify)
-    if edges is None:
-        named = classes.select("digest", F.col("node").alias("component"))
-    else:
-        comp = components(edges)
-        named = classes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return every.select("id", "n_shingles", "digest").join(named, "digest", "left").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
+    ref = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("ref")
+    sets = every.where("digest IS NOT NULL").groupBy("digest").agg(ref, F.first("sig").alias("sig"), F.first("n").alias("n"))
+    sets = written(sets.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("ref.id").alias("id"), F.col("ref.th").alias("th"), "n", "sig"), "sets")
+    # The hash finds the text; the id only tells texts of one hash apart.
+    at = [F.coalesce(F.col("id"), F.lit(0)).alias("i"), "th"]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).select(*at, "text")
+    linker = Linker(sets.select("node", "n", "sig", *at), texts, ["i", "th"], width, threshold, batch, miss)
+    comp = link(sets.select("node", F.explode(band_keys(F.col("sig"), rows, bands)).alias("key")), linker)
+    named = sets.select("digest", F.col("id").alias("component"))
+    if comp is not None:
+        own = sets.select("node", "digest", "id").join(comp, "node", "left")
+        low = own.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("low"))
+        named = own.join(low, "component", "left").select("digest", F.coalesce("low", "id").alias("component"))
+    named = written(named, "named")
+    drop_written(sets)
+    return every.select("id", "n", "digest").join(named, "digest", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept"),
     )
 
 
