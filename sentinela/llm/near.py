@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -36,7 +36,7 @@ PART = 64  # texts hashed at a time, so that their shingles stay in the CPU's ca
 RUN = 512
 #: A further hub in each bucket pays while this share of its comparisons are links.
 YIELD = 0.1
-#: Rows of node numbers that may be broadcast (8 bytes each); above it Spark shuffles.
+#: Rows of a few numbers each (at most 40 bytes) that may be broadcast; above it Spark shuffles.
 MOST_BROADCAST = 1_000_000
 
 
@@ -108,11 +108,11 @@ def pass_mark(n: int, threshold: float, miss: float) -> int:
     return m
 
 
-def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values: int) -> DataFrame:
-    """(id, th, n, digest, sig) of each row; th: hash of its text; digest and sig are null
-    for an empty set. A signature value is the top 16 bits of a 32-bit minimum."""
+def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values: int, also: Sequence[str] = ()) -> DataFrame:
+    """(id, th, n, digest, sig, and the columns ``also``) of each row; th: hash of its text; digest and
+    sig are null for an empty set. A signature value is the top 16 bits of a 32-bit minimum."""
     ship(rows.sparkSession)
-    src = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    src = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, add = permutations(values)
@@ -136,9 +136,10 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values:
                     sigs[i] = sig[j].tobytes()
                     digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 cols = [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([*cols, *part.columns[3:]], names=["id", "th", "n", "digest", "sig", *also])
 
-    return src.mapInArrow(run, "id bigint, th bigint, n bigint, digest binary, sig binary")
+    types = dict(src.dtypes)
+    return src.mapInArrow(run, ", ".join(["id bigint, th bigint, n bigint, digest binary, sig binary", *(f"`{c}` {types[c]}" for c in also)]))
 
 
 def band_keys(sig: Column, rows: int, bands: int) -> Column:
@@ -156,8 +157,8 @@ class Linker:
 
     def load(self, used: DataFrame) -> DataFrame:
         """Store size, signature and text of the nodes that share a bucket with another."""
-        own = _small(self.nodes, used, "node")
-        texts = _small(self.texts, own.drop("n", "sig"), *self.at).dropDuplicates(["node"]).select("node", "text")
+        own = few_joined(self.nodes, used, "node").dropDuplicates(["node"])
+        texts = few_joined(self.texts, own.drop("n", "sig"), *self.at).dropDuplicates(["node"]).select("node", "text")
         self.own = written(texts.join(own.select("node", "n", "sig"), "node"), "compared")
         return self.own
 
@@ -237,9 +238,9 @@ class Linker:
         return self._runs(pairs, "c", "far").mapInArrow(run, "hub bigint, node bigint, c bigint, far boolean, parts array<bigint>, half int, full int")
 
 
-def _small(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
-    """Rows of ``df`` with their keys; the keys are broadcast if they are counted to be few."""
-    return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, list(on))
+def few_joined(df: DataFrame, keys: DataFrame, *on: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with narrow rows, which are broadcast if they are counted to be few."""
+    return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, list(on), how)
 
 
 def _by_difference(linker: Linker, open_: DataFrame, made: list[DataFrame]) -> DataFrame:

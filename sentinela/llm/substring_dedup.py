@@ -1,28 +1,26 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Paragraphs are content-defined, so that a passage inside a longer line is found
-wherever it stands: a cut lies where the hash of five words is the least of a
-window of ``NEAR`` positions, and a paragraph is the five-word shingles from one cut
-to the next. Equal passages are cut alike, at most ``NEAR`` positions apart, so a
-passage of ``2 * NEAR + 4`` words or more always holds a whole paragraph. No
-paragraph is left out for being short.
-
-Every paragraph of shingles enough to be similar without being equal gets a MinHash
-in bands of two values; the number of bands is tuned for the recall asked for at the
-threshold. Paragraphs that collide are linked through hubs (``near.link``), not all
-pairs, confirmed by exact Jaccard of their shingles, and clustered by components.
-Equal paragraphs are one node.
-
-A cluster that spans documents shows where to look; the true ends come from the
-words. Every run of ``PASSAGE_WORDS`` words within reach of a clustered paragraph is
-compared with all others, so a passage is reported from its first to its last shared
-word. The run of the smallest (doc_id, word) stays and the others are removals; so do
-paragraphs that are similar without being equal.
-
-Defined results: null texts and texts of under five words have no paragraph; a
-passage that repeats only inside one document is not a removal; rows that share
-a doc_id are one document; an empty table gives an empty result; other columns are
-not read. Shingles and runs of words are compared by 64-bit hashes.
+1. Texts that are equal as a whole are one document, so a hot group of copies is not
+   cut up: its copies are removals from their first to their last word.
+2. Every line of ``PASSAGE_WORDS`` words or more is a paragraph. Its five-word shingles get
+   a MinHash in bands of three values, whose number is tuned for the recall asked for at
+   the threshold. Paragraphs that collide are compared with hubs, not in all pairs
+   (``near.link``), confirmed by exact Jaccard, and clustered by components.
+3. A passage inside longer lines is found by content-defined pieces of the document's
+   words: a cut lies where the hash of five words is the least of a window of ``NEAR``
+   positions, and a piece is what lies between two cuts. Equal passages are cut alike, so
+   one of ``2 * NEAR + 4`` words (50) or more always holds a whole piece.
+4. Both show where to look; the true ends come from the words: every run of
+   ``PASSAGE_WORDS`` words within reach of a repeated piece is compared with all others.
+   The run of the smallest (doc_id, word) stays and the others are removals; so do the
+   paragraphs of a cluster but its first.
+
+Defined results: ids are integers. Null texts and texts of under ``PASSAGE_WORDS`` words have
+no passage; a passage that repeats only inside one document is not a removal; rows that
+share a doc_id are judged each by its own text, and rows repeated whole are one document; a
+null doc_id ranks behind every other; an empty table gives an empty result; other columns
+are not read. Shingles, pieces and runs of words are compared by 64-bit hashes, whole texts by
+a 64-bit hash and their length.
 """
 
 from __future__ import annotations
@@ -33,31 +31,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.functions.ship import ship
-from sentinela.llm.common import WORD, components, documents, drop_written, written
-from sentinela.llm.near import link, shingles, tune, word_ids, words
+from sentinela.llm.common import WORD, documents, drop_written, written
+from sentinela.llm.near import PART, Linker, band_keys, few_joined, link, shingles, signatures, tune, word_ids, words
 
 WIDTH = 5
 THRESHOLD = (80, 100)
-NEAR = 12
-ROWS = 2
-BANDS = tune(0.8, 0.98, ROWS)
+ROWS = 3
+BANDS = tune(0.8, 0.99, ROWS)
+MISS = 1e-6
+NEAR = 23
 #: A reported passage has at least so many words that another document has as well.
 PASSAGE_WORDS = 20
 _SPOT = re.compile(WORD)
+_LAST = np.iinfo(np.int64).max  # stands for a null doc_id, behind every other
 
 
-def paragraphs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First shingle of each paragraph of a text with shingle hashes ``h``, and the one after its last."""
-    cuts = [np.array([0])]
-    if len(h) > NEAR:
-        near = np.lib.stride_tricks.sliding_window_view(h, NEAR)
-        cuts.append(near.argmin(axis=1) + np.arange(len(near)))
-    cuts.append(np.array([len(h)]))
-    cut = np.unique(np.concatenate(cuts))
+def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First shingle of each piece between two cuts of shingle hashes ``h``, and the one after its last."""
+    if len(h) < NEAR:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = np.lib.stride_tricks.sliding_window_view(h, NEAR)
+    cut = np.unique(near.argmin(axis=1) + np.arange(len(near)))
     return cut[:-1], cut[1:]
 
 
@@ -65,143 +63,133 @@ def _text_ids(text: str | None) -> np.ndarray:
     return word_ids(words(text))
 
 
-def paragraphs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(digest, node, end, parts) of every paragraph; node is struct<doc, start>. parts has
-    its shingles, none if there are too few to be similar to another paragraph without being equal."""
-    ship(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    few = -(-threshold[0] // (threshold[1] - threshold[0]))  # n of n + 1 shingles reach the threshold
+def _sources(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(singles, copies). ``singles``: (d, doc, copied, text), one row for each distinct text;
+    ``copies``: (doc, of, text), the other rows of a text that several have."""
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text_col).alias("t"), F.length(text_col).alias("size"), F.col(text_col).alias("text"))
+    src = src.where("text IS NOT NULL")
+    twice = written(src.groupBy("t", "size").agg(F.min("doc").alias("of"), F.count(F.lit(1)).alias("k"), F.max("doc").alias("hi")).where("k > 1").drop("k"), "copies")
+    marked = few_joined(src, twice, "t", "size", how="left")
+    singles = marked.where("of IS NULL OR doc = of").select(F.xxhash64("doc", "t").alias("d"), "doc", F.coalesce(F.col("of") != F.col("hi"), F.lit(False)).alias("copied"), "text")
+    return singles, marked.where("doc <> of").select("doc", "of", "text")
+
+
+def _pieces_of(singles: DataFrame) -> DataFrame:
+    """(digest, d, start, end) of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                digests, docs_, starts, ends, parts, sizes = [], [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = _text_ids(text.as_py())
-                    if len(ids) < WIDTH:
-                        continue
-                    h = shingles(ids, WIDTH)
-                    first, last = paragraphs(h)
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                digests, ds, starts, ends = [], [], [], []
+                for d, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = shingles(_text_ids(text.as_py()), WIDTH)
+                    first, last = pieces(h)
                     raw = h.tobytes()
                     digests += [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    docs_.append(np.full(len(first), doc))
+                    ds.append(np.full(len(first), d))
                     starts.append(first)
                     ends.append(last)
-                    size = last - first
-                    long_ = size >= few
-                    parts.append(h[np.repeat(long_, size)])
-                    sizes.append(np.where(long_, size, 0))
                 if digests:
-                    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
                     cols = [
-                        pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.concatenate(docs_), pa.int64()),
+                        pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.concatenate(ds), pa.int64()),
                         pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64))),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc", "start", "end", "parts"])
-
-    made = src.mapInArrow(run, "digest bigint, doc bigint, start int, end int, parts array<bigint>")
-    return made.select("digest", F.struct("doc", "start").alias("node"), "end", "parts")
-
-
-def _bands(parts: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """The band keys of a paragraph's shingles."""
-    low = lambda k: F.array_min(F.transform(parts, lambda x: F.xxhash64(x, F.lit(k))))
-    return F.array(*[F.xxhash64(F.lit(b), *[low(b * rows + r) for r in range(rows)]) for b in range(bands)])
-
-
-def _verify(classes: DataFrame, pairs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The pairs whose shingles have a Jaccard similarity at the threshold."""
-    num, den = threshold
-    side = lambda name: classes.select(F.col("node").alias(name), F.col("parts").alias(f"p_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(den * F.size(F.array_intersect("p_a", "p_b")) >= num * F.size(F.array_union("p_a", "p_b"))).select("a", "b").distinct()
-
-
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, end, component, alike) of the paragraphs whose cluster spans two documents or
-    more; alike: the cluster has different paragraphs."""
-    every = written(paragraphs_of(docs, id_col, text_col), "paragraphs")
-    # Equal paragraphs are one node, named by the first of them; only different ones are compared.
-    classes = written(
-        every.groupBy("digest").agg(F.min("node").alias("node"), F.max("node.doc").alias("hi"), F.first("parts").alias("parts")), "classes"
-    )
-    keyed = classes.where("size(parts) > 0").select("node", F.explode(_bands(F.col("parts"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = written(keyed.join(shared, "key").select("key", "node"), "buckets")
-    near = written(classes.join(buckets.select("node").distinct(), "node", "left_semi").where("size(parts) > 0").select("node", "parts"), "near")
-    edges = link(buckets, lambda pairs: _verify(near, pairs))
-    named = classes.select("digest", "node", "hi")
-    if edges is None:
-        named = named.withColumn("component", F.col("node"))
-    else:
-        comp = written(components(edges), "clusters")
-        named = named.join(comp, "node", "left").select("digest", "node", "hi", F.coalesce("component", "node").alias("component"))
-    # Most clusters are one class; only those that span documents go on.
-    wide = named.groupBy("component").agg(F.min("node.doc").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    found = written(named.join(wide.select("component", (F.col("n") > 1).alias("alike")), "component").select("digest", "component", "alike"), "repeats")
-    out = written(every.select("digest", "node", "end").join(found, "digest").select("node", "end", "component", "alike"), "hits")
-    for made in (every, classes, buckets, near, found):
-        drop_written(made)
+                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "d", "start", "end"])
+
+    return singles.select("d", "text").mapInArrow(run, "digest bigint, d bigint, start int, end int")
+
+
+def repeated_pieces(singles: DataFrame) -> DataFrame:
+    """(d, hits): the pieces of each document that another one has as well."""
+    every = written(_pieces_of(singles), "pieces")
+    shared = every.groupBy("digest").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("digest")
+    found = few_joined(every, written(shared, "shared"), "digest")
+    out = written(found.groupBy("d").agg(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("hits")), "hits")  # bounded by the text
+    drop_written(every)
+    return out
+
+
+def similar_lines(singles: DataFrame, threshold: tuple[int, int] = THRESHOLD, passage_words: int = PASSAGE_WORDS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(d, alike): the lines of each document in a cluster of different paragraphs of several
+    documents: line number, c (smallest document of the cluster), r (not its first paragraph)."""
+    lines = singles.select("d", "doc", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = lines.where(F.size(F.split(F.btrim("text", F.lit(" \t\x0b\x0c\r")), r"[\x20\x09-\x0D]+")) >= passage_words)
+    every = signatures(lines, "d", "text", WIDTH, rows * bands, also=["doc", "line"])
+    # Equal paragraphs are one node, named by the digest of their shingles.
+    node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
+    every = written(every.select(F.col("id").alias("d"), "doc", "line", node.alias("node"), "n", "sig"), "paragraphs")
+    linker = Linker(every.select("node", "n", "sig", "d", "line"), lines.select("d", "line", "text"), ["d", "line"], WIDTH, threshold, rows * bands, MISS)
+    comp = link(every.select("node", F.explode(band_keys(F.col("sig"), rows, bands)).alias("key")), linker)
+    if comp is None:
+        drop_written(every)
+        return singles.sparkSession.createDataFrame([], "d bigint, alike array<struct<line:int,c:bigint,r:boolean>>")
+    mine = few_joined(every.select("d", "doc", "line", "node"), comp, "node")
+    first = mine.groupBy("component").agg(F.min(F.struct("doc", "d", "line")).alias("first"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("component", "first")
+    entry = F.struct("line", F.col("first.doc").alias("c"), (F.col("first") != F.struct("doc", "d", "line")).alias("r"))
+    out = written(mine.join(first, "component").groupBy("d").agg(F.collect_list(entry).alias("alike")), "alike")  # bounded by the text
+    drop_written(every)
     return out
 
 
 def _reach(hits: list[dict], n: int) -> np.ndarray:
-    """Which of a text's ``n`` words a passage that holds one of the paragraphs can have."""
+    """Which of a text's ``n`` words a passage that holds one of the pieces can have."""
     step = np.zeros(n + 1, np.int64)
     for x in hits:
-        step[min(n, max(0, x["s"] - NEAR))] += 1
+        step[max(0, x["s"] - NEAR)] += 1
         step[min(n, x["e"] + NEAR + WIDTH - 1)] -= 1
     return np.cumsum(step[:n]) > 0
 
 
 def _windows(own: DataFrame, passage_words: int) -> DataFrame:
-    """(key, doc, t, at): every run of ``passage_words`` words within reach of a clustered paragraph."""
+    """(key, doc, d, at): every run of ``passage_words`` words within reach of a repeated piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for doc, t, text, hits in zip(*(c for c in rb.columns), strict=True):
+            for d, doc, text, hits in zip(*rb.columns, strict=True):
                 ids = _text_ids(text.as_py())
-                if len(ids) < passage_words:
+                if len(ids) < passage_words or not hits.is_valid:
                     continue
                 outside = np.concatenate([[0], np.cumsum(~_reach(hits.as_py(), len(ids)))])
                 at = np.flatnonzero(outside[passage_words:] == outside[:-passage_words])
                 key = shingles(ids, passage_words)[at].view(np.int64)
-                cols = [pa.array(key), pa.array(np.full(len(at), doc.as_py()), pa.int64()), pa.array(np.full(len(at), t.as_py()), pa.int32()), pa.array(at.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "t", "at"])
+                cols = [pa.array(key), *(pa.array(np.full(len(at), x.as_py()), pa.int64()) for x in (doc, d)), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "d", "at"])
 
-    return own.mapInArrow(run, "key bigint, doc bigint, t int, at int")
+    return own.select("d", "doc", "text", "hits").mapInArrow(run, "key bigint, doc bigint, d bigint, at int")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Repeated passages: one row for each maximal run of repeated words of a document, in
-    passages of ``passage_words`` words or more: id, start, end (code points), n_words,
-    component_doc (smallest document that has part of it), removed (false where it stays)."""
-    found = clusters(docs, id_col, text_col)
-    # As many as the document's own repeated paragraphs.
-    hit = F.struct(F.col("node.start").alias("s"), F.col("end").alias("e"), F.col("component.doc").alias("c"), (F.col("node") != F.col("component")).alias("r"), "alike")
-    mine = found.groupBy(F.col("node.doc").alias("doc")).agg(F.collect_list(hit).alias("hits"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
-    own = written(texts.where("text IS NOT NULL").join(mine, "doc").select("doc", "t", "text", "hits"), "own")
-    every = written(_windows(own.select("doc", "t", "text", "hits"), passage_words), "windows")
-    shared = every.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("hi")).where("first.doc <> hi")
-    seen = every.join(shared.select("key", "first"), "key").groupBy("doc", "t").agg(
-        F.collect_set(F.struct("at", F.col("first.doc").alias("c"), (F.col("first") != F.struct("doc", "at")).alias("r"))).alias("seen")  # bounded by the text
-    )
-    alike = F.filter("hits", lambda x: x["alike"])
-    last = own.dropDuplicates(["doc", "t"]).join(seen, ["doc", "t"], "left").select("doc", "text", alike.alias("alike"), "seen").where("seen IS NOT NULL OR size(alike) > 0")
+def _repeated_runs(own: DataFrame, passage_words: int) -> DataFrame:
+    """(d, seen): where each document has a run that another one has: at, c (smallest document with it), r (not the first)."""
+    every = written(_windows(own, passage_words), "windows")
+    first = F.min(F.struct("doc", "d", "at")).alias("first")
+    shared = every.groupBy("key").agg(first, F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("key", "first")
+    spot = F.struct("at", F.col("first.doc").alias("c"), ((F.col("first.d") != F.col("d")) | (F.col("first.at") != F.col("at"))).alias("r"))
+    out = written(every.join(shared, "key").groupBy("d").agg(F.collect_list(spot).alias("seen")), "seen")  # bounded by the text
+    drop_written(every)
+    return out
+
+
+_KINDS = {"start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "component_doc": pa.int64(), "removed": pa.bool_()}
+
+
+def _spans(rows: DataFrame, id_col: str, passage_words: int) -> DataFrame:
+    """Reported runs of (doc, text, of, copied, alike, seen)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
             out = []
             for row in range(rb.num_rows):
-                doc, text, alike, seen = (c[row].as_py() for c in rb.columns)
-                spots = [m.span() for m in _SPOT.finditer(text)]
-                n = len(spots)
+                doc, text, of, copied, alike, seen = (c[row].as_py() for c in rb.columns)
+                marks = [m.span() for m in _SPOT.finditer(text)]
+                n = len(marks)
                 spans = [(x["at"], x["at"] + passage_words, x["c"], x["r"]) for x in seen or []]
-                spans += [(x["s"], x["e"] + WIDTH - 1, x["c"], x["r"]) for x in alike if x["e"] + WIDTH - 1 <= n]
-                step, first = np.zeros((2, n + 1), np.int64), np.full(n, np.iinfo(np.int64).max)
+                if of is not None or copied:
+                    spans.append((0, n, doc if of is None else of, of is not None))
+                if alike:
+                    ends = np.cumsum([0, *(len(_SPOT.findall(x)) for x in text.split("\n"))])
+                    spans += [(ends[x["line"]], ends[x["line"] + 1], x["c"], x["r"]) for x in alike]
+                step, first = np.zeros((2, n + 1), np.int64), np.full(n, _LAST)
                 for s, e, c, gone in spans:
                     step[int(gone), s] += 1
                     step[int(gone), e] -= 1
@@ -218,12 +206,29 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                         whole.append([x])
                 for part in whole:
                     if part[-1][1] - part[0][0] >= passage_words:
-                        out += [(doc, spots[s][0], spots[e - 1][1], e - s, int(first[s:e].min()), bool(kind[s] == 2)) for s, e in part]
+                        out += [(doc, marks[s][0], marks[e - 1][1], e - s, int(first[s:e].min()), bool(kind[s] == 2)) for s, e in part]
             cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[id_col, "start", "end", "n_words", "component_doc", "removed"])
+            ids = [pa.array([None if x == _LAST else x for x in cols[k]], pa.int64()) for k in (0, 4)]
+            yield pa.RecordBatch.from_arrays([ids[0], *(pa.array(cols[k], pa.int64()) for k in (1, 2, 3)), ids[1], pa.array(cols[5], pa.bool_())], names=[id_col, *_KINDS])
+
+    return rows.select("doc", "text", "of", "copied", "alike", "seen").mapInArrow(run, f"`{id_col}` bigint, start bigint, end bigint, n_words bigint, component_doc bigint, removed boolean")
 
-    return last.mapInArrow(run, f"`{id_col}` bigint, start bigint, end bigint, n_words bigint, component_doc bigint, removed boolean")
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """Repeated passages: one row for each maximal run of repeated words of a document, in
+    passages of ``passage_words`` words or more: id, start, end (code points), n_words,
+    component_doc (smallest document that has part of it), removed (false where it stays)."""
+    ship(docs.sparkSession)
+    singles, copies = _sources(docs, id_col, text_col)
+    hits, alike = repeated_pieces(singles), similar_lines(singles, passage_words=passage_words)
+    used = hits.select("d").union(alike.select("d")).distinct().withColumn("hit", F.lit(True))
+    own = few_joined(singles, used, "d", how="left").where("copied OR hit").drop("hit").dropDuplicates(["d"])
+    own = written(own.join(hits, "d", "left").join(alike, "d", "left"), "own")
+    seen = _repeated_runs(own, passage_words)
+    none = lambda df, name: F.lit(None).cast(dict(df.dtypes)[name]).alias(name)
+    mine = own.join(seen, "d", "left").select("doc", "text", F.lit(None).cast("long").alias("of"), "copied", "alike", "seen")
+    rest = copies.select("doc", "text", "of", F.lit(True).alias("copied"), none(mine, "alike"), none(mine, "seen"))
+    return _spans(mine.union(rest), id_col, passage_words).distinct()
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
