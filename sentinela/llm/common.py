@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,15 +15,22 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a few numbers each (at most 40 bytes) that may be broadcast; above it Spark shuffles.
+MOST_BROADCAST = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; a local session without one
-    (as in tests) gets a folder of its own.
+    (as in tests) gets a folder of its own. A cluster that names none is an error,
+    as its machines would each write to their own disk.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="sentinela-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -50,6 +58,11 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few_joined(df: DataFrame, keys: DataFrame, *on: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with narrow rows, which are broadcast if they are counted to be few."""
+    return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, list(on), how)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

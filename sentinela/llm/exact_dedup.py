@@ -1,123 +1,129 @@
 """Exact dedup over an extendible-hash index on shared files (DataFrame functions only).
 
-1. Every row becomes an index entry (64-bit key, digest, length) that is written
-   to the shared folder; texts stay where they are.
-2. The directory starts with one slot and doubles: a bucket with more than
-   ``bucket_entries`` distinct keys splits on its next key bit. Its size is
-   bounded by ``2 ** max_depth`` slots whatever the input holds, and only the
-   histogram of key prefixes reaches the driver.
-3. Texts are compared byte by byte: the grouping key is the key *and* the
-   normalised text, so copies meet as equal bytes and are combined before the
-   shuffle; a hot text leaves each map task once. Different texts under one key
-   become links of that key's chain.
-4. Entries find their group by a join on key and digest; Spark can split a hot key
-   on the entry side. The directory only labels and orders the written index: no
-   task owns a bucket, and grouping is a plain hash aggregation.
-
-Defined results: null text counts as empty; all empty or blank texts are equal;
+1. Every row becomes an index entry (64-bit key, digest, length of the normalised text)
+   that is written to the shared folder; texts are normalised once and stay where they are.
+2. The directory doubles until no bucket holds more than ``bucket_entries`` different
+   entries; there is no fixed depth. A bucket is a range of keys. The directory has about
+   entries / ``bucket_entries`` slots, and only the histogram of key prefixes reaches the driver.
+3. Entries of one key and digest are combined before they are moved, so a hot text is a row
+   for each map task. Owner tasks take the buckets by range, order each key's chain, and
+   write the index: link, survivor, group size.
+4. Only keys met more than once need their bytes: those rows are read again, and copies
+   combine as equal bytes before the shuffle. A chain link whose rows differ is an error.
+5. Each entry finds its link through the directory: key prefix, bucket, key, digest. Spark can
+   split a hot key on the entry side.
+
+Defined results: ids are integers. Null text counts as empty; all empty or blank texts are equal;
 a null ``doc_id`` ranks behind every other id; of rows repeated whole, exactly one
 is kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from bisect import bisect_left
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentinela.llm.common import SPACE, documents, written
+from sentinela.llm.common import MOST_BROADCAST, SPACE, documents, few_joined, written
+
+LINK = ["key", "sha", "n_body"]
+
+
+def _bare(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", "")
 
 
-def entries_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, row_col: str | None = None) -> DataFrame:
-    """Index entries: id, uid, code points, key, digest (and the normalised text)."""
+def entries_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Index entries: id, uid, code points, hash of the text as it is, key, digest, length."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
-        F.col(id_col).alias("id"),
+        F.col(id_col).cast("long").alias("id"),
         (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("uid"),
         F.length(text).alias("n_cp"),
-        F.regexp_replace(text, SPACE + "+", "").alias("body"),
+        F.xxhash64(text).alias("raw"),
+        _bare(text_col).alias("body"),
     )
-    out = base.withColumn("key", F.xxhash64("body")).withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
-    return out if with_text else out.drop("body")
+    return base.select("id", "uid", "n_cp", "raw", F.xxhash64("body").alias("key"), F.sha2(F.col("body").cast("binary"), 256).alias("sha"), F.octet_length("body").alias("n_body"))
 
 
-def split_directory(cells: dict[int, int], bucket_entries: int, max_depth: int) -> list[tuple[int, int, int]]:
-    """Double the directory until no bucket is overfull.
+def _cell(depth: int) -> Column:
+    """The first ``depth`` bits of a key."""
+    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
 
-    ``cells``: distinct keys by the top ``max_depth`` bits. Returns buckets as
-    (first cell, last cell, local depth), in key order.
-    """
+
+def split_directory(cells: dict[int, int], depth: int, bucket_entries: int) -> list[tuple[int, int, int]]:
+    """Buckets as (first cell, last cell, local depth), in key order: the largest aligned
+    ranges of cells with at most ``bucket_entries`` entries. ``cells``: entries by prefix."""
+    at = sorted(cells)
     total = [0]
-    for c in range(1 << max_depth):
-        total.append(total[-1] + cells.get(c, 0))
+    for c in at:
+        total.append(total[-1] + cells[c])
     buckets, todo = [], [(0, 0)]
     while todo:
-        prefix, depth = todo.pop()
-        width = 1 << (max_depth - depth)
+        prefix, local = todo.pop()
+        width = 1 << (depth - local)
         low = prefix * width
-        if total[low + width] - total[low] > bucket_entries and depth < max_depth:
-            todo += [(prefix * 2 + 1, depth + 1), (prefix * 2, depth + 1)]
+        held = total[bisect_left(at, low + width)] - total[bisect_left(at, low)]
+        if held > bucket_entries and local < depth:
+            todo += [(prefix * 2 + 1, local + 1), (prefix * 2, local + 1)]
         else:
-            buckets.append((low, low + width - 1, depth))
+            buckets.append((low, low + width - 1, local))
     return buckets
 
 
-def directory(entries: DataFrame, bucket_entries: int = 50_000, max_depth: int = 12) -> DataFrame:
-    """(cell, bucket, local_depth): at most ``2 ** max_depth`` rows by construction."""
-    cell = F.shiftrightunsigned("key", 64 - max_depth).cast("int")
-    counted = entries.select("key").distinct().groupBy(cell.alias("cell")).count()
-    cells = {r["cell"]: r["count"] for r in counted.collect()}  # bounded: one row for each prefix
-    rows = [
-        (c, b, depth)
-        for b, (low, high, depth) in enumerate(split_directory(cells, bucket_entries, max_depth))
-        for c in range(low, high + 1)
-    ]
-    return entries.sparkSession.createDataFrame(rows, "cell int, bucket int, local_depth int")
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = 50_000, max_depth: int = 12, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entries, index). ``index``: one row for each distinct text, in key order:
-    bucket, local_depth, key, link (place in the key's chain), sha, group_size."""
-    entries = written(entries_of(docs, id_col, text_col, row_col=row_col), "entries")
-    slots = directory(entries, bucket_entries, max_depth)
-    links = (
-        entries_of(docs, id_col, text_col, with_text=True)
-        .groupBy("key", "sha", "body")
-        .agg(F.count(F.lit(1)).alias("group_size"))
-        .drop("body")
-    )
-    chained = links.withColumn("link", F.row_number().over(Window.partitionBy("key").orderBy("sha")) - 1)
-    index = chained.withColumn("cell", F.shiftrightunsigned("key", 64 - max_depth).cast("int")).join(
-        F.broadcast(slots), "cell"
-    )
-    index = index.select("bucket", "local_depth", "key", "link", "sha", "group_size")
-    return entries, written(index.repartitionByRange("bucket", "key"), "index")
+class Directory:
+    """Key prefixes to buckets. Its size is about entries / bucket_entries."""
+
+    def __init__(self, links: DataFrame, bucket_entries: int):
+        self.depth = max(0, (links.count() // bucket_entries).bit_length() - 1)
+        while True:
+            cells = {r["cell"]: r["n"] for r in links.groupBy(_cell(self.depth).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each prefix
+            if self.depth == 60 or max(cells.values(), default=0) <= bucket_entries:
+                break
+            self.depth += 1
+        self.buckets = split_directory(cells, self.depth, bucket_entries)
+        slots = [(c, b, local) for b, (low, high, local) in enumerate(self.buckets) for c in range(low, high + 1)]
+        self.slots = links.sparkSession.createDataFrame(slots, "cell bigint, bucket int, local_depth int")
+        self.few = len(slots) <= MOST_BROADCAST
 
+    def find(self, rows: DataFrame) -> DataFrame:
+        """The rows with the bucket of their key."""
+        return rows.withColumn("cell", _cell(self.depth)).join(F.broadcast(self.slots) if self.few else self.slots, "cell").drop("cell")
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = 50_000, max_depth: int = 12, row_col: str | None = None) -> DataFrame:
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = 20_000, row_col: str | None = None) -> tuple[DataFrame, Directory, DataFrame]:
+    """(entries, directory, index). ``index``: one row for each distinct text, in bucket order:
+    bucket, local_depth, key, link (place in the key's chain), sha, n_body, n, and the
+    survivor: keep_id, keep_uid."""
+    entries = written(entries_of(docs, id_col, text_col, row_col), "entries")
+    # Longest original text, then smallest id, then one of rows repeated whole.
+    best = F.max(F.struct("n_cp", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("neg"), (-F.col("uid")).alias("nuid"))).alias("best")
+    links = written(entries.groupBy(*LINK).agg(best, F.count(F.lit(1)).alias("n")), "links")
+    directory = Directory(links, bucket_entries)
+    # The bytes of what was met more than once.
+    again = written(entries.join(links.where("n > 1").select(*LINK), LINK, "left_semi").select("raw").distinct(), "again")
+    rows = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"), F.col(text_col).alias("text"))
+    bodies = few_joined(rows, again, "raw", how="left_semi").select(_bare("text").alias("body"))
+    bodies = bodies.groupBy("body").agg(F.count(F.lit(1)).alias("rows"))
+    bodies = bodies.select(F.xxhash64("body").alias("key"), F.sha2(F.col("body").cast("binary"), 256).alias("sha"), F.octet_length("body").alias("n_body"), "rows")
+    compared = bodies.groupBy(*LINK).agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("rows"))
+    same = (F.col("n") == 1) | ((F.col("texts") == 1) & (F.col("rows") == F.col("n")))
+    size = F.when(same, F.col("n")).otherwise(F.raise_error(F.lit("texts of different bytes share key, digest and length")).cast("long"))
+    checked = links.join(compared, LINK, "left").select(*LINK, size.alias("n"), (-F.col("best.neg")).alias("keep_id"), (-F.col("best.nuid")).alias("keep_uid"))
+    owned = directory.find(checked).repartitionByRange("bucket")
+    chained = owned.withColumn("link", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha", "n_body")) - 1)
+    return entries, directory, written(chained.sortWithinPartitions("bucket", "key", "link"), "index")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = 20_000, row_col: str | None = None) -> DataFrame:
     """One row for each input row: id, keep_id, group_size, kept, text_sha256, bucket, link,
     and ``row_col``, if the rows have a number of their own (bigint, no two equal)."""
-    entries, index = build_index(docs, id_col, text_col, bucket_entries, max_depth, row_col)
-    # Longest original text, then smallest id, then one of rows repeated whole.
-    best = entries.groupBy("key", "sha").agg(
-        F.max(F.struct("n_cp", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("neg"), (-F.col("uid")).alias("nuid"))).alias("best"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    same = index.join(best, ["key", "sha"]).select(
-        "key",
-        "sha",
-        "bucket",
-        "link",
-        # Two texts of different bytes under one 64-bit key and one SHA-256 would disagree here.
-        F.when(F.col("n") == F.col("group_size"), F.col("n"))
-        .otherwise(F.raise_error(F.lit("texts of different bytes share key and digest")).cast("long"))
-        .alias("group_size"),
-        (-F.col("best.neg")).alias("keep_id"),
-        (-F.col("best.nuid")).alias("keep_uid"),
-    )
-    return entries.join(same, ["key", "sha"]).select(
+    entries, directory, index = build_index(docs, id_col, text_col, bucket_entries, row_col)
+    return directory.find(entries).drop("local_depth").join(index, ["bucket", *LINK]).select(
         F.col("id").alias(id_col),
         "keep_id",
-        "group_size",
+        F.col("n").alias("group_size"),
         (F.col("uid") == F.col("keep_uid")).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "bucket",

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinela.functions.ship import ship
-from sentinela.llm.common import components, drop_written, written
+from sentinela.llm.common import components, drop_written, few_joined, written
 
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -36,8 +36,6 @@ PART = 64  # texts hashed at a time, so that their shingles stay in the CPU's ca
 RUN = 512
 #: A further hub in each bucket pays while this share of its comparisons are links.
 YIELD = 0.1
-#: Rows of a few numbers each (at most 40 bytes) that may be broadcast; above it Spark shuffles.
-MOST_BROADCAST = 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -238,11 +236,6 @@ class Linker:
         return self._runs(pairs, "c", "far").mapInArrow(run, "hub bigint, node bigint, c bigint, far boolean, parts array<bigint>, half int, full int")
 
 
-def few_joined(df: DataFrame, keys: DataFrame, *on: str, how: str = "inner") -> DataFrame:
-    """``df`` joined with narrow rows, which are broadcast if they are counted to be few."""
-    return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, list(on), how)
-
-
 def _by_difference(linker: Linker, open_: DataFrame, made: list[DataFrame]) -> DataFrame:
     """Pairs (hub, node) of members of open buckets that may still be similar.
 

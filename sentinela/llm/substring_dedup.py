@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.functions.ship import ship
-from sentinela.llm.common import WORD, documents, drop_written, written
-from sentinela.llm.near import PART, Linker, band_keys, few_joined, link, shingles, signatures, tune, word_ids, words
+from sentinela.llm.common import WORD, documents, drop_written, few_joined, written
+from sentinela.llm.near import PART, Linker, band_keys, link, shingles, signatures, tune, word_ids, words
 
 WIDTH = 5
 THRESHOLD = (80, 100)
