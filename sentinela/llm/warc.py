@@ -1,21 +1,22 @@
 """WARC writing, reading and transaction assembly.
 
-``write_archives`` turns each page into a transaction of three records (request,
+``write_archives`` turns each page row into a transaction of three records (request,
 response or revisit, metadata) that name each other by WARC-Concurrent-To, and
 writes them as archive files with Spark's own writer, so commits survive lost
-executors and the target may be any store that Spark reaches. ``read_archives``
-parses the files again by Content-Length (a payload may itself look like a WARC
-record). ``assemble`` joins requests and metadata to their response through the
-concurrent-to identifiers, resolves revisits, and gives one nested row for each
-capture.
+executors and the target may be any store that Spark reaches. A file is bounded by
+bytes. ``read_archives`` parses the files again by Content-Length (a payload may itself look
+like a WARC record). ``assemble`` brings requests and metadata to their response by the
+concurrent-to identifiers in one grouping, resolves revisits, and gives one nested row for
+each capture.
 
-A payload of at least ``min_revisit_bytes`` that several pages share is stored
-once, under the largest page_id; the others are revisit records.
+A payload of at least ``min_revisit_bytes`` that several rows share is stored
+once, under the largest (page_id, url); the others are revisit records.
 
 Defined results: null html is an empty payload; null or odd URLs are written
-with control characters percent-encoded; rows repeated whole (same page_id, url
-and html) are one capture; pages that share a page_id but differ otherwise are
-captures of their own; empty tables write no record; other columns are not read.
+with control characters percent-encoded; rows that share a page_id, or are repeated whole,
+are captures of their own, of which one is the response; a null page_id ranks behind every
+other; empty tables write no record; other columns are not read. A file is one gzip member, as
+Spark's writer makes it; the reader takes any number of members.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.functions.ship import ship
-from sentinela.llm.common import documents, shared_dir
+from sentinela.llm.common import documents, shared_dir, written
 
 CRLF = "\r\n"
 _HEAD_END = b"\r\n\r\n"
@@ -52,8 +53,9 @@ def _record(head: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", pages_per_file: int = 2000) -> None:
-    """One request, response or revisit, and metadata record for each page row."""
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", file_bytes: int = 1 << 27) -> None:
+    """One request, response or revisit, and metadata record for each page row; files of about
+    ``file_bytes`` before compression at most, or of one record that is larger."""
     payload = F.coalesce("html", F.lit(""))
     p = pages.select(
         F.col("page_id"),
@@ -61,23 +63,30 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, d
         payload.alias("html"),
         F.sha1(payload.cast("binary")).alias("digest"),
         F.octet_length(payload).alias("size"),
+        F.lit(0).cast("long").alias("copy"),
     )
+    same = written(p.groupBy("digest", "page_id", "url", "size").agg(F.count(F.lit(1)).alias("n")), "page-keys")
+    if not same.where("n > 1").isEmpty():  # rows repeated whole need a number of their own, stored so that every reading agrees
+        p = written(p.withColumn("copy", F.monotonically_increasing_id()), "pages")
+        same = p.select("digest", "page_id", "url", "size", "copy", F.lit(1).alias("n"))
+    elif "copy" not in same.columns:
+        same = same.withColumn("copy", F.lit(0).cast("long"))
+    sizes = same.groupBy(F.floor(F.log2(F.col("size") + F.lit(1024)) / 3).alias("step")).agg(F.min("size").alias("low"), F.max("size").alias("high")).collect()  # at most 11 steps
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    rid = lambda kind: _urn(F.lit(kind), pid, F.col("url"), F.col("digest"))
+    named = lambda kind, page, url, copy: _urn(F.lit(kind), F.coalesce(page.cast("string"), F.lit("null")), url, F.col("digest"), copy.cast("string"))
+    rid = lambda kind: named(kind, F.col("page_id"), F.col("url"), F.col("copy"))
     first = (
-        p.where(F.col("size") >= min_revisit_bytes)
+        same.where(F.col("size") >= min_revisit_bytes)
         .groupBy("digest")
-        .agg(
-            F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "url")).alias("top"),
-            F.count(F.lit(1)).alias("n"),
-        )
+        .agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "url", "copy")).alias("top"), F.sum("n").alias("n"))
         .where("n > 1")
-        .select("digest", F.col("top.page_id").alias("o_page_id"), F.col("top.url").alias("o_url"))
+        .select("digest", F.col("top.page_id").alias("o_page_id"), F.col("top.url").alias("o_url"), F.col("top.copy").alias("o_copy"))
     )
     # Only payloads that repeat have a row in ``first``; texts stay on their side of the join.
     keyed = p.join(first, "digest", "left")
-    original = _urn(F.lit("response"), F.coalesce(F.col("o_page_id").cast("string"), F.lit("null")), F.col("o_url"), F.col("digest"))
-    again = (F.col("size") >= min_revisit_bytes) & F.col("o_url").isNotNull() & ~F.col("o_page_id").eqNullSafe(F.col("page_id"))
+    original = named("response", F.col("o_page_id"), F.col("o_url"), F.col("o_copy"))
+    itself = F.col("o_page_id").eqNullSafe(F.col("page_id")) & (F.col("o_url") == F.col("url")) & (F.col("o_copy") == F.col("copy"))
+    again = (F.col("size") >= min_revisit_bytes) & F.col("o_url").isNotNull() & ~itself
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("size").cast("string"),
@@ -104,7 +113,14 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 1000, d
     # The writer ends each row with \n, which completes the last \r\n\r\n.
     end = F.lit(CRLF * 2)
     value = F.concat(request, end, F.when(F.col("again"), revisit).otherwise(response), end, metadata, F.lit("\r\n\r"))
-    k.select(value.alias("value")).write.option("maxRecordsPerFile", pages_per_file).option("compression", "gzip").text(path)
+    k = k.select("size", value.alias("value"))
+    for r in sizes:
+        # Rows of like size, so that a count of rows bounds the bytes of a file.
+        rows = max(1, file_bytes // (r["high"] + 2048))
+        own = k.where(F.col("size").between(r["low"], r["high"])).select("value")
+        own.write.mode("append").option("maxRecordsPerFile", rows).option("compression", "gzip").text(path)
+    if not sizes:
+        k.select("value").write.option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -191,36 +207,24 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True, row
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each capture: page_id, request, response, metadata, and
     the payload's size and digest, which a revisit takes from the record it refers to."""
-    once = records.dropDuplicates(["record_id"])  # a capture that was written twice
-    main = once.where("record_type IN ('response', 'revisit')")
-    request = once.where("record_type = 'request'").select(
-        F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("record_id"), "target_uri", "date").alias("request")
-    )
+    # A response stands for itself, the others for the record they are concurrent to; no key is null.
+    main = F.col("record_type").isin("response", "revisit")
     page = F.nullif(F.regexp_extract("fields", r"(?m)^page-id: (-?\w+)", 1), F.lit("null")).cast("long")
-    metadata = once.where("record_type = 'metadata'").select(
-        F.col("concurrent_to").alias("record_id"), page.alias("page_id"), F.struct(F.col("record_id").alias("record_id"), "fields").alias("metadata")
-    )
-    captures = main.join(request, "record_id", "left").join(metadata, "record_id", "left")
-    # A response stands for itself, so that no null key gathers all of them in one task.
-    captures = captures.withColumn("stands", F.coalesce("refers_to", "record_id"))
-    original = captures.where("record_type = 'response'").select(
-        F.col("record_id").alias("stands"),
-        F.col("page_id").alias("o_page_id"),
-        F.col("payload_bytes").alias("o_bytes"),
-        F.col("payload_digest").alias("o_digest"),
-    )
-    whole = captures.join(original, "stands", "left")
-    return whole.select(
-        "page_id",
-        "record_type",
-        F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "o_digest").alias("payload_digest"),
-        "header_digest",
-        F.when(F.col("record_type") == "revisit", F.col("o_page_id")).alias("refers_to"),
-        "request",
-        F.struct("record_id", "target_uri", "date", "payload").alias("response"),
-        "metadata",
+    part = lambda name, when, *cols: F.max(F.when(when, F.struct(*cols))).alias(name)
+    whole = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture")).agg(
+        part("request", F.col("record_type") == "request", "record_id", "target_uri", "date"),
+        part("response", main, "record_id", "target_uri", "date", "payload"),
+        part("metadata", F.col("record_type") == "metadata", "record_id", "fields"),
+        part("facts", main, "record_type", "refers_to", "header_digest", "payload_bytes", "payload_digest"),
+        F.max(page).alias("page_id"),
     )
+    captures = written(whole.select("capture", "page_id", "facts.*", "request", "response", "metadata").where("record_type IS NOT NULL"), "captures")
+    cols = ["page_id", "record_type", "payload_bytes", "payload_digest", "header_digest", "o_page_id", "request", "response", "metadata"]
+    own = captures.where("record_type = 'response'").withColumn("o_page_id", F.lit(None).cast("long"))
+    original = own.select(F.col("capture").alias("refers_to"), F.col("page_id").alias("o_page_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest"))
+    again = captures.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(original, "refers_to", "left")
+    again = again.withColumnsRenamed({"o_bytes": "payload_bytes", "o_digest": "payload_digest"})
+    return own.select(cols).union(again.select(cols)).withColumnRenamed("o_page_id", "refers_to")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
