@@ -15,6 +15,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "quality_ablation": quality_rules.quality_ablation,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op10_warc": warc.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "quality_ablation": quality_rules.ABLATION_ORACLE,
 }
