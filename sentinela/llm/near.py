@@ -152,6 +152,7 @@ class Linker:
     def __init__(self, nodes: DataFrame, texts: DataFrame, at: list[str], width: int, threshold: tuple[int, int], batch: int, miss: float):
         self.nodes, self.texts, self.at = nodes, texts, at
         self.width, self.threshold, self.batch, self.miss = width, threshold, batch, miss
+        self.made: list[DataFrame] = []
 
     def load(self, used: DataFrame) -> DataFrame:
         """Store size, signature and text of the nodes that share a bucket with another."""
@@ -163,8 +164,11 @@ class Linker:
     def _runs(self, pairs: DataFrame, *cols: str) -> DataFrame:
         """The pairs (hub, node, ...) as sorted runs: a hub's row, then up to about RUN of its
         members. Each pair moves one text, whatever the size of the hub's group."""
-        count = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("k"))
-        dealt = pairs.join(count, "hub").withColumn("run", F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / RUN)).cast("int")).drop("k")
+        # Few hubs have more members than a run takes; the others have one run.
+        large = written(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > RUN), "large")
+        dealt = few_joined(pairs, large, "hub", how="left").withColumn("run", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / RUN)), F.lit(0)).cast("int")).drop("k")
+        dealt = written(dealt, "dealt")
+        self.made += [large, dealt]
         members = dealt.join(self.own, "node").select("hub", "run", F.lit(1).alias("member"), "node", "n", "sig", "text", *cols)
         heads = dealt.select("hub", "run").distinct().join(self.own.withColumnRenamed("node", "hub"), "hub")
         heads = heads.select("hub", "run", F.lit(0).alias("member"), F.col("hub").alias("node"), "n", "sig", "text", *[F.lit(None).cast(dict(dealt.dtypes)[c]).alias(c) for c in cols])
@@ -262,7 +266,7 @@ def _by_difference(linker: Linker, open_: DataFrame, made: list[DataFrame]) -> D
 def link(keyed: DataFrame, linker: Linker) -> DataFrame | None:
     """(node, component) of the nodes with a link; None if there is none.
 
-    ``keyed``: (key, node), the band keys of every node. Files on the way are deleted.
+    ``keyed``: (key, node), the band keys of every node, repeated or not. Files on the way are deleted.
     """
     made: list[DataFrame] = []
 
@@ -270,12 +274,13 @@ def link(keyed: DataFrame, linker: Linker) -> DataFrame | None:
         made.append(written(df, tag))
         return made[-1]
 
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
-    buckets = kept(keyed.join(shared.select("key", "k"), "key").select("key", "node", "k"), "buckets")
-    central = buckets.groupBy("node").agg(F.sum("k").alias("weight"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    buckets = kept(few_joined(keyed, kept(shared, "shared"), "key").select("key", "node").distinct(), "buckets")
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    central = buckets.join(sizes, "key").groupBy("node").agg(F.sum("k").alias("weight"))
     made.append(linker.load(central.select("node")))
     rows = kept(buckets.select("key", "node").join(central, "node"), "weighed")
-    comp, edges, first, tried = None, [], None, []
+    comp, edges, tried = None, [], []
 
     def classed(df: DataFrame, name: str) -> DataFrame:
         """``df`` with the class so far of its column ``name``."""
@@ -315,6 +320,6 @@ def link(keyed: DataFrame, linker: Linker) -> DataFrame | None:
     left = mixed_only(classed(classed(now.select("key", "node").join(tried[0], "key"), "node"), "hub")).where("node <> hub")
     left = kept(left.select("hub", "node", F.col("c_node").alias("c"), (F.col("c_node") != F.col("c_hub")).alias("far")).distinct(), "open")
     compare(_by_difference(linker, left, made))
-    for df in made:
+    for df in [*made, *linker.made]:
         drop_written(df)
     return comp
