@@ -6,11 +6,13 @@ rows repeated whole and extra columns whose names clash with internal ones.
 
 import hashlib
 import math
+import operator
 import pathlib
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +20,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sentinela.llm import bpe, common, ctw, exact_dedup, licences, mixing, near_dedup, pii, quality_rules, substring_dedup, warc
+from sentinela.llm import bpe, common, ctw, exact_dedup, licences, mixing, near, near_dedup, pii, quality_rules, substring_dedup, warc
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, key string, node string, id string"
 RNG = random.Random(7)
@@ -58,7 +60,7 @@ def test_exact_dedup(docs, empty):
     groups = defaultdict(list)
     for r in fixture_rows():
         groups["".join(c for c in (r[1] or "") if c not in " \t\n\x0b\x0c\r")].append(r)
-    got = exact_dedup.dedup(docs, bucket_entries=2, max_depth=6).collect()
+    got = exact_dedup.dedup(docs, bucket_entries=2).collect()
     by = defaultdict(list)
     for r in got:
         by[r["text_sha256"]].append(r)
@@ -73,9 +75,23 @@ def test_exact_dedup(docs, empty):
 
 def test_directory_doubles():
     cells = {i: 10 for i in range(16)}
-    b = exact_dedup.split_directory(cells, 25, 4)
+    b = exact_dedup.split_directory(cells, 4, 25)
     assert all(high - low == 1 for low, high, _ in b) and len(b) == 8
-    assert exact_dedup.split_directory({3: 1000}, 25, 4)[0][2] >= 1
+    assert exact_dedup.split_directory({3: 1000}, 4, 25)[0][2] >= 1
+    # Ranges cover every cell once, and only cells that can't be split are overfull.
+    b = exact_dedup.split_directory({0: 30, 1: 1, 9: 12, 12: 12, 15: 3}, 4, 25)
+    assert [c for low, high, _ in b for c in range(low, high + 1)] == list(range(16)) and b[0] == (0, 0, 4)
+
+
+def test_directory_is_the_way_to_the_index(docs):
+    entries, directory, index = exact_dedup.build_index(docs, bucket_entries=3)
+    rows = index.collect()
+    assert len(directory.buckets) > 2 and len({r["bucket"] for r in rows}) > 2
+    held = Counter(r["bucket"] for r in rows)
+    assert max(held.values()) <= 3 and sum(r["n"] for r in rows) == entries.count()
+    for r in rows:
+        low, high, local = directory.buckets[r["bucket"]]
+        assert low <= (r["key"] % 2**64) >> (64 - directory.depth) <= high and r["local_depth"] == local
 
 
 def test_quality_rules(docs, empty):
@@ -87,9 +103,18 @@ def test_quality_rules(docs, empty):
         cover = {p for i in range(len(w) - 2) if win[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
         x = rows[r[0]]
         assert (x["n_words"], x["word_chars"], x["n_repeat_words"]) == (len(w), sum(map(len, w)), len(cover)), r[0]
-        assert x["kept"] <= (not (len(w) < 50 or 100 * len(cover) > 50 * len(w)))
+        assert x["kept"] == passes_quality(r[1]), r[0]
+        lines = [v for v in (r[1] or "").split("\n") if re.search(common.WORD, v)]
+        assert (x["n_symbols"], x["n_dup_lines"]) == (sum((r[1] or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines))), r[0]
     a = {r["rule"]: r for r in quality_rules.ablation(got).collect()}
-    assert a["few_words"]["failed"] == sum(1 for r in got.collect() if r["failures"] & 1)
+    bits = [r["failures"] & quality_rules.PRODUCTION.mask for r in got.collect()]
+    for k, (name, _) in enumerate(quality_rules.RULES):
+        if quality_rules.PRODUCTION.mask >> k & 1:
+            own = [b ^ 1 << k for b in bits if b >> k & 1]
+            want = (len(own), own.count(0), reduce(operator.or_, own, 0), reduce(operator.and_, own) if own else 0)
+            assert (a[name]["failed"], a[name]["failed_alone"], a[name]["ever_with"], a[name]["always_with"]) == want, name
+    assert set(a) == {n for k, (n, _) in enumerate(quality_rules.RULES) if quality_rules.PRODUCTION.mask >> k & 1}
+    assert {r["failed"] for r in quality_rules.ablation(quality_rules.ledger(empty)).collect()} == {0}
     assert quality_rules.ledger(empty).count() == 0
 
 
@@ -103,6 +128,12 @@ def test_pii(docs, empty):
         assert [s[:3] for s in pii.find_spans(t) if s[0] in pii.BASE_KINDS] == pii.brute(t), t
     kinds = [s["kind"] for s in pii.scan(docs.where("text LIKE '%IBAN%'")).first()["spans"]]
     assert kinds == ["iban"]
+    found = lambda t: [(s[0], s[3]) for s in pii.find_spans(t)]
+    key = "abe29cfcdae4f03e1e339fcaa4c5bb6c83baff71"
+    assert found(f'the token = "{key}" here') == [("secret", 0.7)] and found(f"the {key} here") == [] and found(f"tokens {key}") == []
+    assert found("my ssn 123-45-6789") == [("national_id", 0.7)] and found("lessness 123-45-6789") == []  # whole words only
+    assert found("from host 10.0.0.1") == [("ip", 0.9)] and found("a ship 10.0.0.1") == [("ip", 0.6)]
+    assert pii.redact(docs.sparkSession.createDataFrame([(1, "card 4111 1111 1111 1111.4.5.6")], "doc_id long, text string")).first()["text"].startswith("card <card>")
     assert pii.redact(docs.where("text LIKE 'mail me%'")).first()["text"].startswith("mail me: <email> or <ip>, card <card>")
     assert pii.scan(empty).count() == 0
 
@@ -199,13 +230,41 @@ def test_near_dedup(docs, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_by_differences(spark, monkeypatch):
+    # One hub a bucket and then differences only: strays that are linked with each other or with members the hub isn't.
+    rng = random.Random(31)
+    base, rows = [f"v{k}" for k in range(60)], []
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(100000)}"
+        return w
+
+    for i in range(150):
+        rows.append((i, " ".join(edited(base, rng.randint(0, 9)))))
+    for i in range(150, 220):  # copies of copies
+        rows.append((i, " ".join(edited(rows[rng.randrange(len(rows))][1].split(), rng.randint(0, 4)))))
+    monkeypatch.setattr(near, "YIELD", 2.0)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_components(rows, 2, 100, 80)
+
+
+def test_near_dedup_rows_of_one_id(spark):
+    rng = random.Random(37)
+    a, b = prose(60, rng), prose(60, rng)
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, a), (None, None)]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(False, 1, 1, True), (False, 1, 1, True), (False, 2, 1, False), (False, 3, 1, False), (True, 0, 0, True), (True, 0, 1, False)]
+
+
 def test_near_dedup_loses_few_pairs_by_batches():
     n, alive = near_dedup.BATCH, np.ones(1)
     level = near_dedup.THRESHOLD[0] / near_dedup.THRESHOLD[1]
     agree = [math.comb(n, k) * level**k * (1 - level) ** (n - k) for k in range(n + 1)]
     for at in range(n, near_dedup.BANDS * near_dedup.ROWS + 1, n):
         alive = np.convolve(alive, agree)
-        alive[: near_dedup.pass_mark(at, level, near_dedup.MISS)] = 0
+        alive[: near.pass_mark(at, level, near_dedup.MISS)] = 0
     assert 1 - alive.sum() < 1e-5  # of pairs exactly at the threshold
 
 
@@ -255,6 +314,28 @@ def test_substring_dedup_planted(spark):
         assert g[0] <= w[0] and g[1] >= w[1] and g[2] <= w[2] + 2 and g[3:] == w[3:], doc
 
 
+def test_substring_dedup_rows_of_one_id_and_nulls(spark):
+    rng = random.Random(53)
+    a, b, c = prose(80, rng), prose(90, rng), prose(30, rng)
+    rows = [(1, a), (1, b + " " + c), (2, c + "\n" + b), (3, a), (None, a), (4, None), (5, prose(19, rng)), (6, ""), (7, a), (7, a)]
+    got = defaultdict(list)
+    for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.lit(1)).withColumn("hits", F.lit("x"))).collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["n_words"], r["component_doc"], r["removed"]))
+    whole = (0, len(a), 80, 1)
+    assert sorted(got[1]) == sorted([(*whole, False), (0, len(b) + 1 + len(c), 120, 1, False)]) and got[3] == got[None] == got[7] == [(*whole, True)]
+    assert all(x[3:] == (1, True) for x in got[2]) and sum(x[2] for x in got[2]) == 120 and set(got) == {1, 2, 3, 7, None}
+
+
+def test_substring_dedup_similar_lines(spark):
+    rng = random.Random(59)
+    line = prose(100, rng).split()
+    other = list(line)
+    other[50] = "changed"
+    rows = [(1, prose(30, rng) + "\n" + " ".join(line)), (2, " ".join(other) + "\n" + prose(40, rng)), (3, prose(150, rng))]
+    got = {r["doc_id"]: (r["n_words"], r["component_doc"], r["removed"]) for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (100, 1, False), 2: (100, 1, True)}
+
+
 def test_ctw_against_recursion(spark, empty):
     rows = [(i, t) for i, t in enumerate([None, "", "abab abba", "abab baba", "banana band", "banana band a", "xyz abab", "ab"])]
     got = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=12, shards=3).collect()}
@@ -305,11 +386,18 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_archives(pages, str(tmp_path / "w"))
     got = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).collect()
     by = {r["page_id"]: r for r in got}
-    assert len(got) == 7 and by[1]["record_type"] == "revisit" and by[1]["refers_to"] == 2 and by[2]["record_type"] == "response"
+    six = sorted((r["record_type"], r["refers_to"]) for r in got if r["page_id"] == 6)
+    assert len(got) == 8 and six == [("response", None), ("revisit", 6)]  # a row repeated whole is a capture of its own
+    assert by[1]["record_type"] == "revisit" and by[1]["refers_to"] == 2 and by[2]["record_type"] == "response"
     assert bytes(by[2]["response"]["payload"]).decode() == trap and by[5]["payload_bytes"] == 1200 and by[5]["refers_to"] == 6
     for r in rows:
         assert by[r[0]]["payload_digest"] == hashlib.sha1((r[2] or "").encode()).hexdigest()
     assert all(r["request"] and r["metadata"] for r in got)
+    tie = spark.createDataFrame([(7, "http://a/x", "t" * 1200), (7, "http://a/y", "t" * 1200)], "page_id long, url string, html string")
+    warc.write_archives(tie, str(tmp_path / "t"))
+    assert sorted(r["record_type"] for r in warc.assemble(warc.read_archives(spark, str(tmp_path / "t"))).collect()) == ["response", "revisit"]
+    warc.write_archives(pages, str(tmp_path / "s"), file_bytes=1)  # a file for each page
+    assert len(list((tmp_path / "s").glob("part-*"))) == 8
     warc.write_archives(pages.limit(0), str(tmp_path / "e"))
     assert warc.assemble(warc.read_archives(spark, str(tmp_path / "e"))).count() == 0
 
@@ -337,6 +425,7 @@ def passes_quality(text):
     return not (
         len(w) < 50 or 100 * len(cover) > 50 * len(w) or sum(t.count(c) for c in "#*$%&|<>") > len(w)
         or chars < 2 * len(w) or chars > 30 * len(w) or 2 * (len(lines) - len(set(lines))) > len(lines)
+        or 5 * sum(any(c.isalpha() for c in x) for x in w) < 2 * len(w) or 10 * sum(x.rstrip().endswith(("...", "…")) for x in lines) > 3 * len(lines)
     )
 
 
