@@ -7,23 +7,110 @@ Regular expressions are written in ECMAScript semantics and translated to Java:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_NOT_AFTER, _NOT_BEFORE = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _SPACES = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPAN = "array<struct<start:int,end:int,matched:string>>"
 
 
+def _class_end(source: str, k: int) -> int:
+    """Index of the bracket that ends the class that starts at ``k``."""
+    k += 1
+    while source[k] != "]":
+        k += 2 if source[k] == "\\" else 1
+    return k
+
+
+def _group_end(source: str, k: int) -> int:
+    """Index of the parenthesis that ends the group that starts at ``k``; the length if none does."""
+    depth = 0
+    while k < len(source):
+        if source[k] == "\\":
+            k += 1
+        elif source[k] == "[":
+            k = _class_end(source, k)
+        elif source[k] == "(":
+            depth += 1
+        elif source[k] == ")":
+            depth -= 1
+            if depth <= 0:
+                return k
+        k += 1
+    return k
+
+
+def _branches(source: str) -> list[str]:
+    """The alternatives of a pattern at its top level, up to the end of the group it stands in."""
+    out, k, last = [], 0, 0
+    while k < len(source) and source[k] != ")":
+        if source[k] == "\\":
+            k += 1
+        elif source[k] == "[":
+            k = _class_end(source, k)
+        elif source[k] == "(":
+            k = _group_end(source, k)
+        elif source[k] == "|":
+            out.append(source[last:k])
+            last = k + 1
+        k += 1
+    return [*out, source[last:k]]
+
+
+def first_chars(source: str) -> str | None:
+    """What a match of ``source`` can start with, as the inside of a character class; None if that isn't
+    always one ASCII letter, digit or underscore."""
+    branches = _branches(source)
+    if len(branches) > 1:
+        found = [first_chars(b) for b in branches]
+        return None if None in found else "".join(found)
+    source = branches[0]
+    while source.startswith("(?!"):
+        source = source[_group_end(source, 0) + 1 :]
+    if not source:
+        return None
+    if source[0] == "(":
+        end = _group_end(source, 0)
+        inside, after = source[1:end].removeprefix("?:"), source[end + 1 :]
+        got = first_chars(inside)
+    elif source[0] == "[":
+        end = _class_end(source, 0)
+        inside, after = source[1:end], source[end + 1 :]
+        got = inside if re.fullmatch(r"(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_]|\\d)+", inside) else None
+    elif source.startswith(r"\d"):
+        got, after = r"\d", source[2:]
+    else:
+        got, after = (source[0] if re.fullmatch("[A-Za-z0-9_]", source[0]) else None), source[1:]
+    if got is None or not re.match(r"[?*]|\{0", after):
+        return got
+    rest = first_chars(re.sub(r"^(?:[?*]|\{0[^}]*\})", "", after))
+    return None if rest is None else got + rest
+
+
+def _ends_in_word(source: str) -> bool:
+    """Whether what stands at the end of ``source`` surely is one ASCII letter, digit or underscore."""
+    last = re.search(r"(\\.|\[(?:\\.|[^\]\\])*\]|[^\\])(\{[1-9]\d*(?:,\d*)?\}|\+)?$", source)
+    return bool(last) and first_chars(last[1]) is not None
+
+
 def java_regex(source: str, flags: str = "g") -> str:
-    """An ECMAScript pattern as a Java one."""
+    """An ECMAScript pattern as a Java one.
+
+    A word boundary beside a character that surely is an ASCII word character needs one
+    lookaround; before it, the class of that character comes first, as most places fail there.
+    """
     out, inside, k = [], False, 0
     while k < len(source):
         ch = source[k]
         if ch == "\\" and k + 1 < len(source):
             two = source[k : k + 2]
             if two == r"\b" and not inside:
-                out.append(_EDGE)
+                head = first_chars(source[k + 2 :])
+                out.append(f"(?=[{head}]){_NOT_AFTER}" if head else _NOT_BEFORE if _ends_in_word(source[:k]) else _EDGE)
             elif two == r"\s":
                 out.append(_SPACES if inside else f"[{_SPACES}]")
             else:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinela.functions.text import java_regex, spans
@@ -80,5 +80,12 @@ def passed(found: Column) -> Column:
     return ~F.exists(found, lambda v: v["level"].isin("critical", "error"))
 
 
+def report(rows: DataFrame, handler: Callable[[DataFrame], None], violations_col: str = "violations") -> DataFrame:
+    """Hand the rows with a violation to ``handler`` (a sink), and give all rows back. In a stream,
+    call it from foreachBatch."""
+    handler(rows.where(F.size(violations_col) > 0))
+    return rows
+
+
 def filter_chunk(text: Column, blocked: Sequence[str]) -> Column:
     return F.regexp_replace(text, java_regex("|".join(map(quoted, blocked)), "gi"), "***") if blocked else text

@@ -67,6 +67,17 @@ def session_summary(reviewed: DataFrame) -> DataFrame:
     )
 
 
+def write_session(reviewed: DataFrame, profile_id: str, run_at: str, path: str) -> None:
+    """A review session as one JSON document: profile, runAt, the counts and the decisions, which are as
+    many as a person has taken. ``reviewed``: id, pattern_id, text, should_match, matched, decision."""
+    counts = session_summary(reviewed)
+    names = {"total_matches": "totalMatches", "false_positives": "falsePositives"}
+    entry = F.struct(F.col("pattern_id").alias("patternId"), F.col("id").alias("corpusId"), F.col("matched").alias("matchedText"), F.col("text").alias("fullText"), F.col("should_match").alias("shouldMatch"), F.col("decision").alias("reviewerDecision"))
+    rows = reviewed.agg(F.sort_array(F.collect_list(entry)).alias("results"))
+    head = counts.select(F.lit(profile_id).alias("profile"), F.lit(run_at).alias("runAt"), *[F.col(c).alias(names.get(c, c)) for c in counts.columns])
+    head.crossJoin(rows).coalesce(1).write.json(path)  # one row each
+
+
 def promoted(confirmations: Column, rejections: Column, current: Column) -> Column:
     total = confirmations + rejections
     return F.when(total == 0, current).when(rejections / total > 0.2, "low").when(confirmations >= 30, "high").when(confirmations >= 10, "medium").otherwise(current)

@@ -89,6 +89,20 @@ def scan_offline(text: Column, extra: Column | None = None) -> Column:
     return F.coalesce(disjoint(_all(parts), _FINDING_FIELDS), F.array().cast(FINDING))
 
 
+def model_spans(text: Column, scored: Column, threshold: float = 0.2, label_map: dict[str, tuple[str, str]] | None = None) -> Column:
+    """Spans of a name model as external spans of ``scan_offline``. ``scored``: array<struct<label:string,
+    start:int,end:int,score:double>>, as a pandas UDF of the caller's model returns it. Spans below the
+    threshold, outside the text, or with a label that the map doesn't have are left out."""
+    names = label_map or {"person": ("NOME", "Nome")}
+    keys = F.create_map(*[F.lit(x) for label, (key, _) in names.items() for x in (label, key)])
+    labels_ = F.create_map(*[F.lit(x) for label, (_, shown) in names.items() for x in (label, shown)])
+    good = F.filter(
+        F.coalesce(scored, F.array().cast("array<struct<label:string,start:int,end:int,score:double>>")),
+        lambda m: (m["score"] >= threshold) & (m["start"] >= 0) & (m["end"] > m["start"]) & (m["end"] <= F.length(text)) & m["label"].isin(*names),
+    )
+    return F.transform(good, lambda m: F.struct(keys[m["label"]].alias("key"), labels_[m["label"]].alias("label"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end")))
+
+
 def is_public_safe(text: Column) -> Column:
     return F.size(scan(text)) == 0
 

@@ -42,18 +42,41 @@ def budget_warnings(tenants: DataFrame, sent: DataFrame, now: Column, days: int
     return due.join(recent, ["tenant_id", "level"], "left_anti")
 
 
-def call_events(inspected: DataFrame, tenant: Column, at: Column, session: Column | None = None) -> DataFrame:
-    """Telemetry rows of inspected texts, to append to the events table."""
+def call_events(inspected: DataFrame, tenant: Column, at: Column, session: Column | None = None, version: str = "v1", duration_ms: Column | None = None) -> DataFrame:
+    """Telemetry rows of inspected texts (columns of ``guard.inspect``), to append to the events table."""
     f, v = F.col("findings"), F.col("violations")
+    none = F.lit(None).cast("string")
     return inspected.select(
-        tenant.alias("tenant_id"), F.lit("api_call").alias("event_type"), F.col("receipt.inputHash").alias("input_hash"), F.array_distinct(F.transform(f, lambda x: x["category"])).alias("pii_types"),
-        F.size(f).alias("pii_count"), F.when(F.col("blocked"), "blocked").otherwise("safe").alias("verdict"), F.nullif("score", F.lit(0)).alias("ethics_score"), F.size(v).alias("ethics_violations"),
-        F.lit(200).alias("status_code"), (session if session is not None else F.lit(None).cast("string")).alias("session_id"), at.alias("created_at"),
+        F.coalesce(tenant, F.lit("default")).alias("tenant_id"), F.lit("pii_inspection").alias("event_type"), F.col("receipt.inputHash").alias("input_hash"), F.array_distinct(F.transform(f, lambda x: x["category"])).alias("pii_types"),
+        F.size(f).alias("pii_count"), F.when(F.col("safe"), "safe").otherwise("blocked").alias("verdict"), F.coalesce(duration_ms if duration_ms is not None else F.lit(0), F.lit(0)).cast("long").alias("duration_ms"),
+        F.nullif("score", F.lit(0)).alias("ethics_score"), F.size(v).alias("ethics_violations"), F.lit(200).alias("status_code"), none.alias("error_message"),
+        (session if session is not None else none).alias("session_id"), F.lit(version).alias("api_version"), at.alias("created_at"),
     )
 
 
-def error_events(errors: DataFrame, tenant: Column, message: Column, status: Column, at: Column) -> DataFrame:
-    return errors.select(tenant.alias("tenant_id"), F.lit("api_error").alias("event_type"), message.alias("error_message"), F.coalesce(status, F.lit(500)).alias("status_code"), at.alias("created_at"))
+def error_events(errors: DataFrame, tenant: Column, message: Column, at: Column, session: Column | None = None, version: str = "v1") -> DataFrame:
+    """Telemetry rows of failed calls, in the columns of ``call_events``."""
+    null = lambda kind: F.lit(None).cast(kind)
+    return errors.select(
+        F.coalesce(tenant, F.lit("default")).alias("tenant_id"), F.lit("api_error").alias("event_type"), null("string").alias("input_hash"), null("array<string>").alias("pii_types"), null("int").alias("pii_count"),
+        F.lit("error").alias("verdict"), null("long").alias("duration_ms"), null("int").alias("ethics_score"), null("int").alias("ethics_violations"), F.lit(500).alias("status_code"), message.alias("error_message"),
+        (session if session is not None else null("string")).alias("session_id"), F.lit(version).alias("api_version"), at.alias("created_at"),
+    )
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Append telemetry rows to the events table, by day."""
+    events.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def append_warnings(warnings: DataFrame, at: Column, path: str) -> None:
+    """Append the warnings that were due (rows of ``budget_warnings``) to the table of those that were sent."""
+    warnings.withColumn("created_at", at).write.mode("append").parquet(path)
+
+
+def append_tenants(tenants: DataFrame, path: str) -> None:
+    """Append tenant rows (of ``free_tenant``) to the tenants table."""
+    tenants.write.mode("append").parquet(path)
 
 
 def recent_events(events: DataFrame, limit: int = 50, tenant: str | None = None, tie: str = "event_id") -> DataFrame:

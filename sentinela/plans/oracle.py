@@ -36,22 +36,44 @@ def _whole(text: str, regex: str) -> str:
     return f"regexp_replace({text}, {regex}, {SENTINEL} || '\\0' || {SENTINEL}, 'g')"
 
 
-def candidates(src: str, patterns: Sequence[P.Pattern], names: bool) -> str:
-    """CTEs that end in cand(doc_id, start, end, m, prio, id, category, label, mask)."""
+def _grouped(before: str, group: str, after: str, flags: str) -> str:
+    """The text with ``group`` between sentinels where it stands between ``before`` and ``after``."""
+    lead = ("(?i)" if "i" in flags else "") + ("(?m)" if "m" in flags else "")
+    return f"regexp_replace(text, {q(f'{lead}({before})({group})({after})')}, '\\1' || {SENTINEL} || '\\2' || {SENTINEL} || '\\3', 'g')"
+
+
+def candidates(src: str, patterns: Sequence[P.Pattern], names: bool, ner: bool = False, by_key: bool = False) -> str:
+    """CTEs that end in cand(doc_id, start, end, m, prio, id, category, label, mask). ``by_key``: the
+    check-digit patterns, with their keys as category and their rules applied."""
     ctes, union = [], []
     for k, p in enumerate(patterns):
         source, where = p.source, "TRUE"
+        marked = None
         if p.id == "placa_antiga":
             source = r"\b[A-Z]{3}[-\s]?\d{4}"
-            where = r"NOT regexp_matches(m, '(?i)^(ISO|RFC|IEC|ITU|ICS|NBR)[-\s]?\d') AND NOT regexp_matches(after, '[-0-9/]')"
-        tags = f"{k} AS prio, {q(p.id)} AS id, {q(p.kind)} AS category, {q(p.label)} AS label, {q(p.mask)} AS mask"
-        ctes.append(_parts(f"c{k}", src, _whole("text", _re2(source, p.flags)), tags))
+            where = "NOT regexp_matches(after, '[-0-9/]')" + ("" if by_key else r" AND NOT regexp_matches(m, '(?i)^(ISO|RFC|IEC|ITU|ICS|NBR)[-\s]?\d')")
+        elif "(?<!\\d)" in source:  # digits may not touch it
+            source = source.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)")
+            marked, where = _grouped(r"^|\D", source, "", p.flags), "NOT regexp_matches(after, '[0-9]')"
+        if by_key and p.validator:
+            where += " AND " + checksum(p.validator, "m")
+        tags = f"{k} AS prio, {q(p.id)} AS id, {q(p.key if by_key else p.kind)} AS category, {q(p.label)} AS label, {q(p.mask)} AS mask"
+        ctes.append(_parts(f"c{k}", src, marked or _whole("text", _re2(source, p.flags)), tags))
         union.append(f"SELECT * FROM c{k} WHERE {where}")
+    k = len(patterns)
+    tags = lambda k, label: f"{k} AS prio, 'name' AS id, 'name' AS category, {q(label)} AS label, {q(P.NAME_MASK)} AS mask"
     if names:
-        k = len(patterns)
-        marked = f"regexp_replace(text, {q(f'({P.NAME_RULE[0]})({P.NAME_RULE[1]}){P.NAME_RULE[2]}')}, '\\1' || {SENTINEL} || '\\2' || {SENTINEL}, 'g')"
-        ctes.append(_parts(f"c{k}", src, marked, f"{k} AS prio, 'name' AS id, 'name' AS category, {q(P.NAME_LABEL)} AS label, {q(P.NAME_MASK)} AS mask"))
+        ctes.append(_parts(f"c{k}", src, _grouped(*P.NAME_RULE, ""), tags(k, P.NAME_LABEL)))
         union.append(f"SELECT * FROM c{k} WHERE len(m) > 3")
+        k += 1
+    if ner:
+        for _, label, before, after, flags in P.NER_RULES:
+            ctes.append(_parts(f"c{k}", src, _grouped(before, P.NER_NAME, after, flags), tags(k, label)))
+            union.append(f"SELECT * FROM c{k} WHERE len(m) > 3")
+            k += 1
+        ctes.append(_parts(f"c{k}", src, _whole("text", q(P.NER_C)), tags(k, P.NER_C_LABEL)))
+        words = "regexp_split_to_array(m, '\\s+')"
+        union.append(f"SELECT * FROM c{k} WHERE len({words}) >= 2 AND NOT list_has_any({words}, [{', '.join(map(q, P.NER_C_STOP))}])")
     return ",\n".join(ctes) + ",\ncand AS (" + " UNION ALL ".join(union) + ")"
 
 
@@ -67,9 +89,9 @@ DISJOINT = """ordered AS (
 )"""
 
 
-def findings(corpus: str, patterns: Sequence[P.Pattern] = P.SCAN, names: bool = True) -> str:
+def findings(corpus: str, patterns: Sequence[P.Pattern] = P.SCAN, names: bool = True, ner: bool = False, by_key: bool = False) -> str:
     """WITH clause that ends in kept; ``corpus`` is SQL for (doc_id, text)."""
-    return f"WITH RECURSIVE corpus AS ({corpus}),\n{candidates('corpus', patterns, names)},\n{DISJOINT}"
+    return f"WITH RECURSIVE corpus AS ({corpus}),\n{candidates('corpus', patterns, names, ner, by_key)},\n{DISJOINT}"
 
 
 def spliced(expr: str) -> str:
@@ -160,6 +182,28 @@ SELECT c.doc_id, {n('blocked_entity')} AS n_blocked, {n('invented_acronym')} AS
 FROM corpus c LEFT JOIN v ON v.doc_id = c.doc_id GROUP BY c.doc_id"""
 
 
+def inspected(corpus: str, blocked: Sequence[str] = (), critical_action: str = "block") -> str:
+    """The facade: masking, claims, summary and verdict of each text."""
+    base = findings(corpus) + spliced("k.mask") + grades() + ", kinds AS (SELECT doc_id, string_agg(category, ',' ORDER BY first) AS kinds FROM (SELECT doc_id, category, min(start) AS first FROM kept GROUP BY doc_id, category) GROUP BY doc_id)"
+    base += " SELECT g.doc_id, g.text, o.out, g.n, g.sensitivity, k.kinds FROM grade g JOIN out o ON o.doc_id = g.doc_id LEFT JOIN kinds k ON k.doc_id = g.doc_id"
+    names = "|".join(map(E.quoted, blocked))
+    chunk = f"regexp_replace(f.out, {q('(?i)' + names)}, '***', 'g')" if blocked else "f.out"
+    gone = "f.sensitivity = 'critical'" if critical_action == "block" else "FALSE"
+    errors = "(v.n_blocked + v.n_fabricated + v.n_promise)"
+    each = " || ".join(f"repeat({q(c + ', ')}, v.{n})" for c, n in (("blocked_entity", "n_blocked"), ("fabricated_data", "n_fabricated"), ("false_promise", "n_promise")))
+    listed = f"rtrim({each}, ', ')"
+    claims = f"CASE WHEN {errors} > 0 THEN 'Ethics: ' || {errors} || ' violation(s) (' || {listed} || ')' END"
+    pii = "CASE WHEN f.n > 0 THEN 'PII: ' || f.n || ' finding(s) (' || f.sensitivity || ')' END"
+    return f"""WITH f AS ({base}), v AS ({violations(corpus, blocked)}), r AS (
+SELECT f.doc_id, f.text, f.kinds, CASE WHEN {gone} THEN {q(BANNER)} ELSE {chunk} END AS output, f.n = 0 AND v.passed AS safe, {gone} AS blocked, v.score, f.sensitivity,
+       CAST(f.n AS INTEGER) AS n_findings, CAST(v.n_blocked + v.n_acronym + v.n_absolute + v.n_fabricated + v.n_promise AS INTEGER) AS n_violations, concat_ws(' | ', {claims}, {pii}) AS issues
+FROM f JOIN v ON v.doc_id = f.doc_id)"""
+
+
+INSPECTED = """
+SELECT doc_id, output, safe, blocked, score, sensitivity, n_findings, CASE WHEN issues = '' THEN 'Output is clean — no violations found.' ELSE 'Issues found: ' || issues END AS summary FROM r"""
+
+
 def checksum(kind: str, raw: str) -> str:
     """SQL predicate of a check-digit rule."""
     d = f"regexp_replace({raw}, '[^0-9]', '', 'g')"

@@ -17,7 +17,7 @@ from sentinela.streaming.usage import windowed_usage
 AT = "2024-01-01T00:00:00.000Z"
 SEED = "session-1"
 DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
-TALK = "SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'"
+TALK = "SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') AS text FROM conversations"
 BLOCKED = ("Maria Silva", "ANVISA")
 
 
@@ -29,13 +29,17 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(corpora.SYNTHETIC.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(corpora.SPOKEN.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Every turn, whoever speaks."""
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,14 +111,14 @@ def with_profile(spark, sf_dir):
     return _exploded(synthetic(spark, sf_dir), scan.scan(F.col("text"), extra=P.PROFILE_PCMG)).select("doc_id", "f.category", "f.label", "f.start", "f.end", "f.matched")
 
 
-@query("ner_findings")
+@query("ner_findings", O.findings(corpora.SPOKEN, ner=True) + _FOUND)
 def ner(spark, sf_dir):
-    return _exploded(synthetic(spark, sf_dir), scan.scan(F.col("text"), ner=True)).select("doc_id", "f.category", "f.label", "f.start", "f.end", "f.matched")
+    return _exploded(spoken(spark, sf_dir), scan.scan(F.col("text"), ner=True)).select("doc_id", "f.category", "f.label", "f.start", "f.end", "f.matched")
 
 
-@query("offline_findings")
+@query("offline_findings", O.findings(corpora.SPOKEN, P.OFFLINE, False, by_key=True) + 'SELECT doc_id, category AS key, label, start, "end", m AS matched FROM kept')
 def offline(spark, sf_dir):
-    return _exploded(synthetic(spark, sf_dir), scan.scan_offline(F.col("text"))).select("doc_id", F.col("f.category").alias("key"), "f.label", "f.start", "f.end", "f.matched")
+    return _exploded(spoken(spark, sf_dir), scan.scan_offline(F.col("text"))).select("doc_id", F.col("f.category").alias("key"), "f.label", "f.start", "f.end", "f.matched")
 
 
 def _policy(make):
@@ -272,17 +276,17 @@ def _inspected(df: DataFrame, blocked=()) -> DataFrame:
     return d.select("doc_id", "output", "safe", "blocked", "score", "sensitivity", F.size("findings").alias("n_findings"), "summary")
 
 
-@query("inspect_synthetic")
+@query("inspect_synthetic", O.inspected(corpora.SYNTHETIC, BLOCKED) + O.INSPECTED)
 def inspect_synthetic(spark, sf_dir):
     return _inspected(synthetic(spark, sf_dir), BLOCKED)
 
 
-@query("inspect_documents")
+@query("inspect_documents", O.inspected(DOCS, ()) + O.INSPECTED)
 def inspect_documents(spark, sf_dir):
     return _inspected(docs(spark, sf_dir))
 
 
-@query("inspect_conversations")
+@query("inspect_conversations", O.inspected(TALK, ()) + O.INSPECTED)
 def inspect_conversations(spark, sf_dir):
     return _inspected(talk(spark, sf_dir))
 
@@ -312,12 +316,23 @@ def _reviewed(spark) -> DataFrame:
     return hits.join(rows.select("id", "answer"), "id").withColumn("decision", F.when(F.col("found"), registry.decision(F.col("answer"))).otherwise("rejected"))
 
 
-@query("hitl_matches", "SELECT * FROM (VALUES ('bo-1', 1, 'BO nº 2024/098765', TRUE, 'confirmed'), ('bo-2', 1, 'BO 2023/123456', TRUE, 'confirmed'), ('bo-2', 2, 'BO 2023/123457', TRUE, 'confirmed'), ('bo-4', 0, '', FALSE, 'rejected'), ('ipl-1', 1, 'IPL 1234/2024', TRUE, 'confirmed'), ('ipl-3', 1, 'IP-00123/2023', TRUE, 'rejected'), ('reds-1', 1, 'REDS-2024-001234567/123', TRUE, 'partial'), ('tc-1', 1, 'TC-1234/2024', TRUE, 'skipped')) t(id, finding_no, matched, found, decision)")
+_SESSION = ", ".join(f"({O.q(i)}, {O.q(p)}, {O.q(t)}, {m}, {O.q(a)})" for i, p, t, m, a in corpora.REVIEW)
+_HITS = O.findings(f"SELECT id AS doc_id, text FROM (VALUES {_SESSION}) s(id, pattern_id, text, should_match, answer)", (*P.SCAN, *P.PROFILE_PCMG)) + f""",
+reviewed AS (
+  SELECT s.id, CASE WHEN k.m IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY s.id ORDER BY k.start) END AS finding_no, coalesce(k.m, '') AS matched, k.m IS NOT NULL AS found,
+         CASE WHEN k.m IS NULL OR lower(trim(answer)) = 'n' THEN 'rejected' WHEN lower(trim(answer)) IN ('s', '') THEN 'confirmed' WHEN lower(trim(answer)) = 'p' THEN 'partial' ELSE 'skipped' END AS decision, should_match
+  FROM (VALUES {_SESSION}) s(id, pattern_id, text, should_match, answer) LEFT JOIN kept k ON k.doc_id = s.id AND k.category = s.pattern_id
+  WHERE k.m IS NOT NULL OR should_match
+)"""
+
+
+@query("hitl_matches", _HITS + " SELECT id, finding_no, matched, found, decision FROM reviewed")
 def hitl(spark, sf_dir):
     return _reviewed(spark).select("id", "finding_no", "matched", "found", "decision")
 
 
-@query("hitl_summary", "SELECT 8 AS total_matches, 4 AS confirmed, 2 AS rejected, 1 AS partial, 2 AS false_positives")
+@query("hitl_summary", _HITS + """ SELECT count(*) AS total_matches, count(*) FILTER (WHERE decision = 'confirmed') AS confirmed, count(*) FILTER (WHERE decision = 'rejected') AS rejected,
+  count(*) FILTER (WHERE decision = 'partial') AS partial, count(*) FILTER (WHERE decision = 'rejected' AND should_match) AS false_positives FROM reviewed""")
 def hitl_summary(spark, sf_dir):
     return registry.session_summary(_reviewed(spark))
 
@@ -382,10 +397,13 @@ def keys(spark, sf_dir):
     return usage.validate_keys(r, t).select("o_orderkey", "tenant_id")
 
 
-@query("telemetry_events")
+@query("telemetry_events", O.inspected(TALK, (), "redact") + """
+SELECT 't' || doc_id % 10 AS tenant_id, 'pii_inspection' AS event_type, sha256(text) AS input_hash, coalesce(kinds, '') AS pii_types, n_findings AS pii_count, CASE WHEN safe THEN 'safe' ELSE 'blocked' END AS verdict,
+       CAST(0 AS BIGINT) AS duration_ms, nullif(score, 0) AS ethics_score, n_violations AS ethics_violations, 200 AS status_code, 'v1' AS api_version FROM r""")
 def telemetry(spark, sf_dir):
     d = guard.inspect(talk(spark, sf_dir), inspected_at=F.lit(AT))
-    return usage.call_events(d, F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string")), F.lit("2024-01-01").cast("timestamp"))
+    e = usage.call_events(d, F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string")), F.lit("2024-01-01").cast("timestamp"))
+    return e.withColumn("pii_types", F.array_join("pii_types", ",")).drop("error_message", "session_id", "created_at")
 
 
 @query("free_tenants", "SELECT 't' || c_custkey AS id, c_name AS name, c_name || '@x.br' AS email, 'free' AS tier, CAST(500 AS BIGINT) AS quota_limit, CAST(0 AS BIGINT) AS calls_this_month, 'active' AS status, sha256('k' || c_custkey) AS api_key_hash FROM customer")

@@ -28,21 +28,18 @@ def docx_text(raw: bytes) -> str:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): .txt, .md and .csv whole, .docx as raw text. PDF needs a library that
-    isn't here; any other extension is an error, raised when the row is read."""
+    isn't here; any other extension is an error, raised when the row is read. Each file is read once."""
 
     @F.pandas_udf("string")
     def from_docx(raw: pd.Series) -> pd.Series:
-        return raw.map(docx_text)
+        return raw.map(lambda x: None if x is None else docx_text(x))
 
     files = spark.read.format("binaryFile").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    plain = ext.isin("txt", "md", "csv")
-    rows = files.select(
-        "path", F.when(plain, F.decode("content", "UTF-8")).when(ext == "docx", F.lit(None).cast("string"))
-        .otherwise(F.raise_error(F.concat(F.lit("unsupported file: "), F.col("path"))).cast("string")).alias("text"), "content", ext.alias("ext"),
-    )
-    texts = rows.where("ext <> 'docx'").select("path", "text")
-    return texts.union(rows.where("ext = 'docx'").select("path", from_docx("content")))
+    plain = F.when(ext.isin("txt", "md", "csv"), F.decode("content", "UTF-8"))
+    other = F.raise_error(F.concat(F.lit("unsupported file: "), F.col("path"))).cast("string")
+    docx = from_docx(F.when(ext == "docx", F.col("content")))  # Python gets the bytes of .docx files only
+    return files.withColumn("from_docx", docx).select("path", plain.when(ext == "docx", F.col("from_docx")).otherwise(other).alias("text"))
 
 
 def write_vault(vault: DataFrame, path: str) -> None:
