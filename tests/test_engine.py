@@ -1,10 +1,16 @@
 """Golden rows, properties and portability of the text engine."""
 
+import json
+import random
+import re
+import zipfile
+
+import pytest
 from pyspark.sql import functions as F
 
 from sentinela.functions.sqlreg import findings_table, register_view
-from sentinela.functions.text import java_regex
-from sentinela.operators import checksums, ethics, evidence, mask, provenance, registry, scan, tokens
+from sentinela.functions.text import _EDGE, first_chars, java_regex, spans
+from sentinela.operators import checksums, ethics, evidence, mask, provenance, registry, scan, tokens, usage
 from sentinela.operators import patterns as P
 from sentinela.plans import corpora, guard
 from sentinela.sources import files
@@ -142,3 +148,101 @@ def test_stream_and_sql(spark, tmp_path):
 
 def test_labelled_corpus_is_whole():
     assert len(corpora.LABELLED) == 27 and len(ethics.KNOWN_ACRONYMS) > 80
+    assert len(corpora.REVIEW) == 30 and sum(not x[3] for x in corpora.REVIEW) == 8
+
+
+def test_word_boundaries_are_those_of_the_language(spark):
+    # One-sided boundaries find what two-sided ones do, next to every kind of character.
+    rng = random.Random(2)
+    bits = ["A", "b", "7", "12", "_", " ", "-", ".", "é", "Ç", "ª", "٣", "ABC1234", "ABC1D23", "12345-678", "123.456.789-09", "a@b.co", "rg 12.345.678-9", "CNH: 12345678901", "HIV +"]
+    texts = [("".join(rng.choices(bits, k=rng.randint(1, 9))),) for _ in range(400)]
+    d = spark.createDataFrame(texts, "text string")
+    two = lambda p: p.replace(r"\b", _EDGE)
+    cols = []
+    for k, p in enumerate((*P.SCAN, *P.SECRETS, *P.PROFILE_PCMG)):
+        plain = java_regex(two(p.source), p.flags)
+        cols += [F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias(f"a{k}"), F.transform(spans(F.col("text"), p.source, p.flags), lambda m: m["matched"]).alias(f"b{k}")]
+    for r in d.select("text", *cols).collect():
+        for k in range(len(cols) // 2):
+            assert r[f"a{k}"] == r[f"b{k}"], (r["text"], k)
+
+
+def test_first_characters():
+    assert first_chars(r"\d{7}x") == r"\d" and first_chars("(?:RG|rg)[0-9]") == "Rr" and first_chars("(?:x)?y") == "xy"
+    assert first_chars(r"(?:\+55)?\d") is None and first_chars("[á-z]") is None and first_chars("(?!ISO)[A-Z]{3}") == "A-Z" and first_chars("") is None
+
+
+def _docx(path, paragraphs):
+    body = "".join(f"<w:p>{''.join(f'<w:r>{x}</w:r>' for x in p)}</w:p>" for p in paragraphs)
+    xml = f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", xml)
+
+
+def test_every_kind_of_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.txt", "b.MD", "c.csv"):
+        (tmp_path / "in" / name).write_text(f"de {name}")
+    _docx(tmp_path / "in/d.docx", [["<w:t>CPF </w:t>", "<w:t>529.982.247-25</w:t>"], ["<w:t>x</w:t><w:tab/><w:t>y</w:t><w:br/><w:t>z</w:t>"]])
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in files.read_files(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.txt": "de a.txt", "b.MD": "de b.MD", "c.csv": "de c.csv", "d.docx": "CPF 529.982.247-25\n\nx\ty\nz"}
+    (tmp_path / "in/e.xls").write_text("x")
+    with pytest.raises(Exception, match="unsupported file"):
+        files.read_files(spark, str(tmp_path / "in")).collect()
+
+
+def test_vault_export_and_probe(spark, tmp_path):
+    assert files.parse_vault('{"tokens": {"[CPF_0001]": "1"}}') == {"[CPF_0001]": "1"}
+    for bad in ("{}", '{"tokens": []}'):
+        with pytest.raises(ValueError):
+            files.parse_vault(bad)
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    assert files.probe(spark, str(tmp_path / "t")).count() == 1
+
+
+def test_sinks_append(spark, tmp_path):
+    at = F.lit("2024-02-01").cast("timestamp")
+    d = guard.inspect(spark.createDataFrame([("CPF 529.982.247-25",), ("Texto limpo.",)], "text string"))
+    e = usage.call_events(d, F.lit(None).cast("string"), at)
+    bad = usage.error_events(spark.range(1), F.lit("t1"), F.lit("broken"), at)
+    for part in (e, bad):
+        usage.append_events(part, str(tmp_path / "events"))
+    rows = spark.read.parquet(str(tmp_path / "events")).collect()
+    assert sorted((r["tenant_id"], r["event_type"], r["verdict"], r["status_code"]) for r in rows) == [("default", "pii_inspection", "blocked", 200), ("default", "pii_inspection", "safe", 200), ("t1", "api_error", "error", 500)]
+    tenants = spark.createDataFrame([("a", 99, 100), ("b", 10, 100)], "tenant_id string, calls long, quota_limit long")
+    none = spark.createDataFrame([], "tenant_id string, level string, created_at timestamp")
+    due = usage.budget_warnings(tenants, none, at)
+    usage.append_warnings(due, at, str(tmp_path / "sent"))
+    sent = spark.read.parquet(str(tmp_path / "sent"))
+    assert [r["level"] for r in sent.collect()] == ["critical"] and usage.budget_warnings(tenants, sent, at).count() == 0
+    t = usage.free_tenant(spark.createDataFrame([("1", "n", "m", usage.new_key())], "id string, name string, email string, api_key string"))
+    usage.append_tenants(t, str(tmp_path / "tenants"))
+    assert spark.read.parquet(str(tmp_path / "tenants")).first()["quota_limit"] == 500
+
+
+def test_review_session_file(spark, tmp_path):
+    reviewed = spark.createDataFrame([("a", "p:x", "t", True, "m", "confirmed"), ("b", "p:x", "u", True, "", "rejected")], "id string, pattern_id string, text string, should_match boolean, matched string, decision string")
+    registry.write_session(reviewed, "p", "2024-01-01", str(tmp_path / "s"))
+    got = json.loads(spark.read.text(str(tmp_path / "s")).first()[0])
+    assert (got["totalMatches"], got["confirmed"], got["falsePositives"]) == (2, 1, 1) and got["results"][0]["corpusId"] == "a"
+
+
+def test_report_hook_sees_violations_only(spark):
+    seen = []
+    d = guard.inspect(spark.createDataFrame([("Com certeza.",), ("Texto limpo.",)], "text string"))
+    assert ethics.report(d, lambda rows: seen.extend(r["text"] for r in rows.collect())).count() == 2
+    assert seen == ["Com certeza."]
+
+
+def test_model_spans(spark):
+    kind = "array<struct<label:string,start:int,end:int,score:double>>"
+    scored = F.from_json(F.lit('[{"label":"person","start":0,"end":4,"score":0.3},{"label":"person","start":5,"end":8,"score":0.1},{"label":"place","start":5,"end":8,"score":0.9},{"label":"person","start":9,"end":99,"score":0.9}]'), kind)
+    text = F.lit("Joao tem CPF 529.982.247-25")
+    r = spark.range(1).select(scan.scan_offline(text, scan.model_spans(text, scored)).alias("f"), scan.model_spans(text, F.lit(None).cast(kind)).alias("none")).first()
+    assert [f["category"] for f in r["f"]] == ["NOME", "CPF"] and r["none"] == []
+
+
+def test_many_matches_in_a_text(spark):
+    n = 4000
+    r = spark.createDataFrame([("fone (11) 98765-4321, " * n,)], "text string").select(F.size(scan.scan(F.col("text"))).alias("n")).first()
+    assert r["n"] == n
