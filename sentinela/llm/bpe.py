@@ -9,9 +9,11 @@ vocabulary and concatenates their bytes in an ordered aggregation.
 
 No shuffle: encoding is one narrow stage. Memory is bounded by the Arrow batch,
 ``chunk_words`` rows of words in DuckDB and ``cache_words`` remembered words.
-A word of more than ``LONG`` bytes (junk without a break) would need one round of
-the recursive query for each merge; it is contracted by the same rule with a
-heap instead.
+A word of more than ``LONG`` bytes (junk without a break) would need one round for each merge.
+It is cut where no token has its two neighbouring bytes, which no merge can cross. What is
+still long (a few letters over and over) goes to ``CONTRACT_LONG``, the same recursion with all
+places of the least pair at once; where a contraction makes a lesser pair possible, only the
+leftmost is taken, so the result is that of the one-by-one rule.
 
 Defined results: null and empty texts have no tokens; special tokens are plain
 text; repeated rows are encoded alike; an empty table gives an empty result;
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -62,6 +63,36 @@ WITH RECURSIVE s(step, w, pos, tok) AS (
 SELECT s.w, s.tok FROM s JOIN ended USING (w, step) ORDER BY s.w, s.pos
 """
 
+CONTRACT_LONG = """
+WITH RECURSIVE s(step, w, pos, tok) AS (
+  SELECT 0, w, pos, tok FROM word_rows
+  UNION ALL (
+    WITH p AS (
+      SELECT step, w, pos, tok, lead(tok) OVER o AS t1, lead(tok, 2) OVER o AS t2, lag(tok) OVER o AS t0, row_number() OVER o AS rn
+      FROM s WINDOW o AS (PARTITION BY w ORDER BY pos)
+    ), k AS (
+      SELECT p.*, m.merged AS made FROM p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.t1
+    ), b AS (
+      SELECT w, min(made) AS best FROM k GROUP BY w HAVING min(made) IS NOT NULL
+    ), c AS (
+      SELECT k.w, k.rn, b.best, least(x.merged, y.merged, z.merged) < b.best AS risk
+      FROM k JOIN b ON k.w = b.w AND k.made = b.best
+      LEFT JOIN merges x ON x.l = k.t0 AND x.r = b.best
+      LEFT JOIN merges y ON y.l = b.best AND y.r = k.t2
+      LEFT JOIN merges z ON z.l = b.best AND z.r = b.best
+    ), g AS (
+      SELECT *, rn - row_number() OVER (PARTITION BY w ORDER BY rn) AS island, bool_or(coalesce(risk, FALSE)) OVER (PARTITION BY w) AS risky, min(rn) OVER (PARTITION BY w) AS leftmost FROM c
+    ), h AS (
+      SELECT w, rn, best FROM (SELECT *, (rn - min(rn) OVER (PARTITION BY w, island)) % 2 AS odd FROM g) WHERE odd = 0 AND (NOT risky OR rn = leftmost)
+    )
+    SELECT k.step + 1, k.w, k.pos, coalesce(h.best, k.tok)
+    FROM k JOIN b ON b.w = k.w LEFT JOIN h ON h.w = k.w AND h.rn = k.rn LEFT JOIN h gone ON gone.w = k.w AND gone.rn = k.rn - 1
+    WHERE gone.w IS NULL
+  )
+), ended AS (SELECT w, max(step) AS step FROM s GROUP BY w)
+SELECT s.w, s.tok FROM s JOIN ended USING (w, step) ORDER BY s.w, s.pos
+"""
+
 DECODE = """
 SELECT t.row AS row, coalesce(sha256(unhex(string_agg(v.hex, '' ORDER BY t.pos))), sha256('')) AS sha
 FROM token_rows t JOIN vocab v ON v.tok = t.tok GROUP BY t.row
@@ -111,6 +142,10 @@ class Coder:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
+        self.beside = np.zeros(65536, bool)
+        for token in self.ranks:
+            for x, y in zip(token, token[1:], strict=False):
+                self.beside[x * 256 + y] = True
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         ints = lambda x: pa.array(x, pa.int32())
@@ -130,49 +165,34 @@ class Coder:
         pattern = self.full if self.beyond.search(text) else self.latin
         return pattern.findall(text)
 
-    def _contract(self, words: list[str]) -> None:
-        """Encode new words with the recursive query."""
-        raw = [w.encode() for w in words]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        tok = self.single[np.frombuffer(b"".join(raw), np.uint8)]
-        w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+    def _contract(self, pieces: list[bytes], sql: str) -> list[bytes]:
+        """Ids of each piece, contracted with a recursive query."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tok = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        w = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         pos = (np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         self._table("word_rows", {"w": w, "pos": pos, "tok": tok})
-        got = self._query(CONTRACT)
-        w = got.column("w").to_numpy()
-        ids = got.column("tok").to_numpy().astype("<u4")
-        cut = np.searchsorted(w, np.arange(len(raw) + 1)).tolist()
-        flat = ids.tobytes()
-        for k, word in enumerate(words):
-            self.cache[word] = flat[cut[k] * 4 : cut[k + 1] * 4]
-
-    def _heap(self, word: str) -> bytes:
-        """Leftmost minimum-rank contraction of one long word in n log n steps."""
-        parts: list[bytes | None] = [bytes([b]) for b in word.encode()]
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (rank := self.ranks.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (rank, i, j, len(parts[i]) + len(parts[j])))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, j, size = heapq.heappop(heap)
-            if parts[i] is None or after[i] != j or parts[j] is None or len(parts[i]) + len(parts[j]) != size:
-                continue
-            parts[i] += parts[j]
-            parts[j] = None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([self.ranks[p] for p in parts if p is not None], "<u4").tobytes()
+        got = self._query(sql)
+        cut = (np.searchsorted(got.column("w").to_numpy(), np.arange(len(pieces) + 1)) * 4).tolist()
+        flat = got.column("tok").to_numpy().astype("<u4").tobytes()
+        return [flat[cut[k] : cut[k + 1]] for k in range(len(pieces))]
+
+    def _apart(self, word: bytes) -> list[bytes]:
+        """The word cut between bytes that stand side by side in no token."""
+        b = np.frombuffer(word, np.uint8).astype(np.int32)
+        at = [0, *(np.flatnonzero(~self.beside[b[:-1] * 256 + b[1:]]) + 1).tolist(), len(b)]
+        return [word[x:y] for x, y in zip(at, at[1:], strict=False)]
+
+    def _long(self, word: bytes) -> bytes:
+        pieces = self._apart(word)
+        out: dict[bytes, bytes] = {}
+        short = [x for x in dict.fromkeys(pieces) if len(x) <= LONG]
+        for k in range(0, len(short), self.chunk_words):
+            out |= zip(short[k : k + self.chunk_words], self._contract(short[k : k + self.chunk_words], CONTRACT), strict=True)
+        for x in dict.fromkeys(pieces):
+            if x not in out:
+                out[x] = self._contract([x], CONTRACT_LONG)[0]
+        return b"".join(map(out.__getitem__, pieces))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -182,12 +202,13 @@ class Coder:
         new = {w for words in cut for w in words if w not in self.cache}
         short = []
         for w in new:
-            if len(w) * 4 > LONG and len(w.encode()) > LONG:
-                self.cache[w] = self._heap(w)
+            if len(w) * 4 > LONG and len(raw := w.encode()) > LONG:
+                self.cache[w] = self._long(raw)
             else:
                 short.append(w)
         for k in range(0, len(short), self.chunk_words):
-            self._contract(short[k : k + self.chunk_words])
+            part = short[k : k + self.chunk_words]
+            self.cache.update(zip(part, self._contract([w.encode() for w in part], CONTRACT), strict=True))
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
