@@ -174,6 +174,17 @@ def test_bpe_is_the_library(docs, empty):
     assert back == {i: texts[i] for i in back} and bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_long_words():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(43)
+    some = lambda parts, n: "".join(rng.choice(parts) for _ in range(n))
+    texts = ["x" * 20_000, "the" * 6000, "ab" * 5000, "é漢" * 2000, some("abcdefghijklmnopqrstuvwxyz", 20_000), some(["in", "ing", "er", "st", "tion"], 3000), some("st", 3000), some("aé", 700)]
+    texts += [some(rng.sample("aenorstiLTé", 2), rng.randint(513, 900)) for _ in range(40)]
+    got = bpe.coder(path, public_tokenizers.PATTERN).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_separators_are_no_white_space():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
