@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDS: dict[bytes, int] = {}
 _MOST_WORDS = 200_000
-PART = 64  # texts hashed at a time, so that their shingles stay in the CPU's cache
+PART = 64  # texts compared at a time
+PART_CHARS = 200_000  # of the texts hashed at a time, so that their shingles stay in the CPU's cache
 #: Members of a hub that are compared in one run of rows; a larger group has several.
 RUN = 512
 #: A further hub in each bucket pays while this share of its comparisons are links.
@@ -80,6 +82,49 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingles(word_ids(words(text)), width))
 
 
+def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each text, one after the other, and how many each has."""
+    ids = [word_ids(words(t)) for t in texts]
+    n = np.array([len(x) for x in ids], np.int64)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint64)
+    ends = np.cumsum(n)
+    if len(flat) < width:
+        h, keep = np.zeros(0, np.uint64), np.zeros(0, bool)
+    else:
+        h, keep = shingles(flat, width), np.ones(len(flat) - width + 1, bool)
+    for k in range(1, width):  # runs that go on into the next text
+        over = ends - k
+        keep[over[(over >= ends - n) & (over < len(keep))]] = False
+    size = np.maximum(n - width + 1, 0)
+    h = h[keep]
+    few = np.flatnonzero((n > 0) & (n < width))
+    if len(few):  # all words are one shingle
+        own = np.split(h, np.cumsum(size)[:-1])
+        for i in few:
+            own[i] = shingles(ids[i], width)
+        size = np.array([len(x) for x in own], np.int64)
+        h = np.concatenate(own)
+    text = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((h, text))
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], np.bincount(text[new], minlength=len(size))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The rows, so many at a time that their texts have about ``PART_CHARS``."""
+    for batch in batches:
+        start, size = 0, 0
+        for k, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()):
+            size += n
+            if size >= PART_CHARS:
+                yield batch.slice(start, k + 1 - start)
+                start, size = k + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Fixed odd multipliers and offsets of ``count`` permutations of 32-bit numbers."""
     rng = np.random.Generator(np.random.PCG64(20240501))
@@ -114,27 +159,24 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, add = permutations(values)
-        for batch in batches:
-            for start in range(0, batch.num_rows, PART):
-                part = batch.slice(start, PART)
-                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
-                size = np.array([len(s) for s in sets])
-                some = np.flatnonzero(size)
-                sig = np.zeros((len(some), values), np.uint16)
-                if len(some):
-                    flat = (np.concatenate([sets[i] for i in some]) >> np.uint64(32)).astype(np.uint32)
-                    cut = np.cumsum(size[some]) - size[some]
-                    buf = np.empty_like(flat)
-                    for k in range(values):
-                        np.multiply(flat, mult[k], out=buf)
-                        np.add(buf, add[k], out=buf)
-                        sig[:, k] = np.minimum.reduceat(buf, cut) >> np.uint32(16)
-                sigs, digests = [None] * len(sets), [None] * len(sets)
-                for j, i in enumerate(some):
-                    sigs[i] = sig[j].tobytes()
-                    digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                cols = [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, *part.columns[3:]], names=["id", "th", "n", "digest", "sig", *also])
+        for part in _parts(batches, 2):
+            flat, size = shingle_sets([t.as_py() for t in part.column(2)], width)
+            some = np.flatnonzero(size)
+            sig = np.zeros((len(some), values), np.uint16)
+            cut = np.cumsum(size[some]) - size[some]
+            if len(some):
+                short = (flat >> np.uint64(32)).astype(np.uint32)
+                buf = np.empty_like(short)
+                for k in range(values):
+                    np.multiply(short, mult[k], out=buf)
+                    np.add(buf, add[k], out=buf)
+                    sig[:, k] = np.minimum.reduceat(buf, cut) >> np.uint32(16)
+            sigs, digests, raw = [None] * len(size), [None] * len(size), flat.tobytes()
+            for j, (i, at) in enumerate(zip(some.tolist(), cut.tolist(), strict=True)):
+                sigs[i] = sig[j].tobytes()
+                digests[i] = hashlib.blake2b(raw[8 * at : 8 * (at + int(size[i]))], digest_size=16).digest()
+            cols = [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, *part.columns[3:]], names=["id", "th", "n", "digest", "sig", *also])
 
     types = dict(src.dtypes)
     return src.mapInArrow(run, ", ".join(["id bigint, th bigint, n bigint, digest binary, sig binary", *(f"`{c}` {types[c]}" for c in also)]))
@@ -212,7 +254,7 @@ class Linker:
         return self._runs(pairs).mapInArrow(run, "a bigint, b bigint")
 
     def differences(self, pairs: DataFrame) -> DataFrame:
-        """(hub, node, c, far, parts, half, full): what only one of hub and member has, and how
+        """(hub, node, n, c, far, parts, half, full): what only one of hub and member has, and how
         many of its rarest parts a partner must touch (see ``_by_difference``)."""
         num, den = self.threshold
         width, less, all_ = self.width, den - num, den + num
@@ -234,10 +276,10 @@ class Linker:
                     half.append(max(0, len(d) - least + 1))
                     full.append(max(0, len(d) - far + 1))
                 some = rb.take(pa.array(keep, pa.int64()))
-                cols = [some.column(0), some.column(3), some.column(7), some.column(8), pa.array(parts, pa.list_(pa.int64())), pa.array(half, pa.int32()), pa.array(full, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["hub", "node", "c", "far", "parts", "half", "full"])
+                cols = [some.column(0), some.column(3), some.column(4), some.column(7), some.column(8), pa.array(parts, pa.list_(pa.int64())), pa.array(half, pa.int32()), pa.array(full, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["hub", "node", "n", "c", "far", "parts", "half", "full"])
 
-        return self._runs(pairs, "c", "far").mapInArrow(run, "hub bigint, node bigint, c bigint, far boolean, parts array<bigint>, half int, full int")
+        return self._runs(pairs, "c", "far").mapInArrow(run, "hub bigint, node bigint, n bigint, c bigint, far boolean, parts array<bigint>, half int, full int")
 
 
 def _by_difference(linker: Linker, open_: DataFrame, made: list[DataFrame]) -> DataFrame:
@@ -249,18 +291,22 @@ def _by_difference(linker: Linker, open_: DataFrame, made: list[DataFrame]) -> D
     far, |d(x)| > (|x| + |hub|)(1-t)/(1+t). Both together: x and y share more than
     (|d(y)| + (|hub| - |y|)(1-t)/(1+t)) / 2 parts, so, in any one order of the parts, one
     of the first ``half`` of d(y) and of the first ``full`` of d(x). The order is by rarity.
+    What follows the first part that they share bounds how many they can share.
     """
+    num, den = linker.threshold
     made.append(diff := written(linker.differences(open_), "differences"))
     each = diff.select("hub", "node", F.explode("parts").alias("part"))
     rare = each.groupBy("hub", "part").agg(F.count(F.lit(1)).alias("f"))
     ordered = each.join(rare, ["hub", "part"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("f", "part"))).alias("o"))  # bounded by two texts
-    spots = diff.drop("parts").join(ordered, ["hub", "node"]).select("hub", "node", "c", "far", "half", "full", F.posexplode("o").alias("at", "o"))
-    made.append(spots := written(spots.where("o.f > 1 AND at < IF(far, greatest(half, full), half)").select("hub", "node", "c", "far", F.col("o.part").alias("part"), (F.col("at") < F.col("half")).alias("early")), "parts"))
-    x = spots.where("far").select("hub", "part", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("early").alias("early_x"))
-    y = spots.where("early").select("hub", "part", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("far").alias("far_y"))
-    return x.join(y, ["hub", "part"]).where("x <> y AND cx <> cy AND (NOT far_y OR NOT early_x OR x < y)").select(
-        F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")
-    ).distinct()
+    spots = diff.withColumn("size", F.size("parts")).drop("parts").join(ordered, ["hub", "node"]).select("hub", "node", "n", "c", "far", "half", "full", "size", F.posexplode("o").alias("at", "o"))
+    spots = spots.where("o.f > 1 AND at < IF(far, greatest(half, full), half)")
+    made.append(spots := written(spots.select("hub", "node", "n", "c", "far", "size", (F.col("size") - F.col("at")).alias("rest"), F.col("o.part").alias("part"), (F.col("at") < F.col("half")).alias("early")), "parts"))
+    names = ["node", "n", "c", "far", "size", "rest", "early"]
+    side = lambda df, name: df.select("hub", "part", *[F.col(c).alias(f"{c}_{name}") for c in names])
+    twice = F.expr(f"{den + num} * (size_x + size_y) - {den - num} * (n_x + n_y)")  # of what they must share
+    return side(spots.where("far"), "x").join(side(spots.where("early"), "y"), ["hub", "part"]).where(
+        F.expr("node_x <> node_y AND c_x <> c_y AND (NOT far_y OR NOT early_x OR node_x < node_y)") & (2 * (den + num) * F.least("rest_x", "rest_y") >= twice)
+    ).select(F.least("node_x", "node_y").alias("hub"), F.greatest("node_x", "node_y").alias("node")).distinct()
 
 
 def link(keyed: DataFrame, linker: Linker) -> DataFrame | None:
@@ -280,7 +326,7 @@ def link(keyed: DataFrame, linker: Linker) -> DataFrame | None:
     central = buckets.join(sizes, "key").groupBy("node").agg(F.sum("k").alias("weight"))
     made.append(linker.load(central.select("node")))
     rows = kept(buckets.select("key", "node").join(central, "node"), "weighed")
-    comp, edges, tried = None, [], []
+    comp, edges, tried, settled = None, [], [], 0
 
     def classed(df: DataFrame, name: str) -> DataFrame:
         """``df`` with the class so far of its column ``name``."""
@@ -295,15 +341,16 @@ def link(keyed: DataFrame, linker: Linker) -> DataFrame | None:
         return df.join(still, "key", "left_semi")
 
     def compare(pairs: DataFrame) -> tuple[int, int]:
-        nonlocal comp
         pairs = kept(pairs, "pairs")
         found = kept(linker.similar(pairs), "links")
         tries, links = pairs.count(), found.count()
         if links:
             edges.append(found)
-            comp = written(components(reduce(DataFrame.union, edges)), "classes")
         return tries, links
 
+    def settle() -> DataFrame | None:
+        return written(components(reduce(DataFrame.union, edges)), "classes") if edges else None
+
     while True:
         now = kept(mixed_only(classed(rows, "node")), "open") if tried else classed(rows, "node")
         strays = now
@@ -313,13 +360,17 @@ def link(keyed: DataFrame, linker: Linker) -> DataFrame | None:
         hubs = kept(strays.groupBy("key").agg(best).select("key", F.col("h.node").alias("hub"), F.col("h.c_node").alias("c_hub")), "hubs")
         tries, links = compare(now.join(hubs, "key").where("node <> hub AND c_node <> c_hub").select("hub", "node").distinct())
         tried.append(hubs.select("key", "hub"))
-        if links == 0 or links < YIELD * tries:
+        if len(tried) == 1 or links >= YIELD * tries > 0:  # else the few links wait for the end
+            comp, settled = settle(), len(edges)
+        if links < YIELD * tries or not links:
             break
         rows = now.select("key", "node", "weight")
     # What is left open is compared by differences from the bucket's first hub.
     left = mixed_only(classed(classed(now.select("key", "node").join(tried[0], "key"), "node"), "hub")).where("node <> hub")
     left = kept(left.select("hub", "node", F.col("c_node").alias("c"), (F.col("c_node") != F.col("c_hub")).alias("far")).distinct(), "open")
     compare(_by_difference(linker, left, made))
+    if len(edges) > settled:
+        comp = settle()
     for df in [*made, *linker.made]:
         drop_written(df)
     return comp

@@ -30,13 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.functions.ship import ship
 from sentinela.llm.common import WORD, documents, drop_written, few_joined, written
-from sentinela.llm.near import PART, Linker, band_keys, link, shingles, signatures, tune, word_ids, words
+from sentinela.llm.near import PART, Linker, band_keys, link, mixed, shingles, signatures, tune, word_ids, words
 
 WIDTH = 5
 THRESHOLD = (80, 100)
@@ -50,13 +49,24 @@ _SPOT = re.compile(WORD)
 _LAST = np.iinfo(np.int64).max  # stands for a null doc_id, behind every other
 
 
-def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First shingle of each piece between two cuts of shingle hashes ``h``, and the one after its last."""
+def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The best of each ``width`` neighbours, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = best(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def pieces(h: np.ndarray) -> np.ndarray:
+    """The cuts of shingle hashes ``h``: where a hash is the least of a window of ``NEAR``."""
     if len(h) < NEAR:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    near = np.lib.stride_tricks.sliding_window_view(h, NEAR)
-    cut = np.unique(near.argmin(axis=1) + np.arange(len(near)))
-    return cut[:-1], cut[1:]
+        return np.zeros(0, np.int64)
+    least = _slide(h, NEAR, np.minimum)
+    # The greatest least of the windows that hold a place is its own hash if any window's least is.
+    own = _slide(np.concatenate([np.zeros(NEAR - 1, np.uint64), least, np.zeros(NEAR - 1, np.uint64)]), NEAR, np.maximum)
+    return np.flatnonzero(own == h)
 
 
 def _text_ids(text: str | None) -> np.ndarray:
@@ -81,20 +91,18 @@ def _pieces_of(singles: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
                 part = batch.slice(at, PART)
-                digests, ds, starts, ends = [], [], [], []
+                digests, ds, cuts = [], [], []
                 for d, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     h = shingles(_text_ids(text.as_py()), WIDTH)
-                    first, last = pieces(h)
-                    raw = h.tobytes()
-                    digests += [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    ds.append(np.full(len(first), d))
-                    starts.append(first)
-                    ends.append(last)
+                    cut = pieces(h)
+                    if len(cut) > 1:
+                        # Shingles overlap, so their sum stands for the piece as it is.
+                        digests.append(np.add.reduceat(mixed(h), cut)[:-1])
+                        ds.append(np.full(len(cut) - 1, d))
+                        cuts.append((cut[:-1], cut[1:]))
                 if digests:
-                    cols = [
-                        pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.concatenate(ds), pa.int64()),
-                        pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)),
-                    ]
+                    starts, ends = (np.concatenate(x).astype(np.int32) for x in zip(*cuts, strict=True))
+                    cols = [pa.array(np.concatenate(digests).view(np.int64)), pa.array(np.concatenate(ds), pa.int64()), pa.array(starts), pa.array(ends)]
                     yield pa.RecordBatch.from_arrays(cols, names=["digest", "d", "start", "end"])
 
     return singles.select("d", "text").mapInArrow(run, "digest bigint, d bigint, start int, end int")
@@ -132,12 +140,16 @@ def similar_lines(singles: DataFrame, threshold: tuple[int, int] = THRESHOLD, pa
     return out
 
 
-def _reach(hits: list[dict], n: int) -> np.ndarray:
+def _fields(cell: pa.Array, *names: str) -> list[np.ndarray]:
+    """Columns of one row's list of structs."""
+    return [cell.values.field(name).to_numpy(zero_copy_only=False) for name in names]
+
+
+def _reach(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of a text's ``n`` words a passage that holds one of the pieces can have."""
     step = np.zeros(n + 1, np.int64)
-    for x in hits:
-        step[max(0, x["s"] - NEAR)] += 1
-        step[min(n, x["e"] + NEAR + WIDTH - 1)] -= 1
+    np.add.at(step, np.maximum(0, start - NEAR), 1)
+    np.add.at(step, np.minimum(n, end + NEAR + WIDTH - 1), -1)
     return np.cumsum(step[:n]) > 0
 
 
@@ -150,7 +162,7 @@ def _windows(own: DataFrame, passage_words: int) -> DataFrame:
                 ids = _text_ids(text.as_py())
                 if len(ids) < passage_words or not hits.is_valid:
                     continue
-                outside = np.concatenate([[0], np.cumsum(~_reach(hits.as_py(), len(ids)))])
+                outside = np.concatenate([[0], np.cumsum(~_reach(*_fields(hits, "s", "e"), len(ids)))])
                 at = np.flatnonzero(outside[passage_words:] == outside[:-passage_words])
                 key = shingles(ids, passage_words)[at].view(np.int64)
                 cols = [pa.array(key), *(pa.array(np.full(len(at), x.as_py()), pa.int64()) for x in (doc, d)), pa.array(at.astype(np.int32))]
@@ -163,9 +175,10 @@ def _repeated_runs(own: DataFrame, passage_words: int) -> DataFrame:
     """(d, seen): where each document has a run that another one has: at, c (smallest document with it), r (not the first)."""
     every = written(_windows(own, passage_words), "windows")
     first = F.min(F.struct("doc", "d", "at")).alias("first")
-    shared = every.groupBy("key").agg(first, F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("key", "first")
-    spot = F.struct("at", F.col("first.doc").alias("c"), ((F.col("first.d") != F.col("d")) | (F.col("first.at") != F.col("at"))).alias("r"))
-    out = written(every.join(shared, "key").groupBy("d").agg(F.collect_list(spot).alias("seen")), "seen")  # bounded by the text
+    shared = every.groupBy("key").agg(first, F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("key", F.col("first.doc").alias("c"), F.col("first.d").alias("first_d"), F.col("first.at").alias("first_at"))
+    spot = F.struct("at", "c", ((F.col("first_d") != F.col("d")) | (F.col("first_at") != F.col("at"))).alias("r"))
+    found = few_joined(every, written(shared, "shared"), "key")
+    out = written(found.groupBy("d").agg(F.collect_list(spot).alias("seen")), "seen")  # bounded by the text
     drop_written(every)
     return out
 
@@ -180,20 +193,30 @@ def _spans(rows: DataFrame, id_col: str, passage_words: int) -> DataFrame:
         for rb in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
             out = []
             for row in range(rb.num_rows):
-                doc, text, of, copied, alike, seen = (c[row].as_py() for c in rb.columns)
+                doc, text, of, copied = (rb.column(k)[row].as_py() for k in range(4))
+                alike, seen = rb.column(4)[row], rb.column(5)[row]
                 marks = [m.span() for m in _SPOT.finditer(text)]
                 n = len(marks)
-                spans = [(x["at"], x["at"] + passage_words, x["c"], x["r"]) for x in seen or []]
+                # Runs of words: first, after the last, smallest document that has it, goes.
+                runs = [(np.zeros(0, np.int64),) * 4]
+                if seen.is_valid:
+                    at, c, r = _fields(seen, "at", "c", "r")
+                    runs.append((at, at + passage_words, c, r))
                 if of is not None or copied:
-                    spans.append((0, n, doc if of is None else of, of is not None))
-                if alike:
+                    runs.append(tuple(np.array([x]) for x in (0, n, doc if of is None else of, of is not None)))
+                if alike.is_valid:
+                    line, c, r = _fields(alike, "line", "c", "r")
                     ends = np.cumsum([0, *(len(_SPOT.findall(x)) for x in text.split("\n"))])
-                    spans += [(ends[x["line"]], ends[x["line"] + 1], x["c"], x["r"]) for x in alike]
+                    runs.append((ends[line], ends[line + 1], c, r))
+                start, end, least, goes = (np.concatenate(x).astype(np.int64) for x in zip(*runs, strict=True))
                 step, first = np.zeros((2, n + 1), np.int64), np.full(n, _LAST)
-                for s, e, c, gone in spans:
-                    step[int(gone), s] += 1
-                    step[int(gone), e] -= 1
-                    np.minimum(first[s:e], c, out=first[s:e])
+                np.add.at(step, (goes, start), 1)
+                np.add.at(step, (goes, end), -1)
+                for c in np.unique(least)[::-1]:  # the smallest is written last
+                    own = np.zeros(n + 1, np.int64)
+                    np.add.at(own, start[least == c], 1)
+                    np.add.at(own, end[least == c], -1)
+                    first[np.cumsum(own[:n]) > 0] = c
                 stays, gone = (np.cumsum(x[:n]) > 0 for x in step)
                 kind = np.where(gone, 2, stays)  # what another document keeps goes
                 edge = np.flatnonzero(np.diff(kind, prepend=0, append=0)).tolist()
