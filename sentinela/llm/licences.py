@@ -6,11 +6,11 @@ punctuation, copyright lines, equivalent spellings, white space) and its SHA-256
 is joined to the digests of known licence texts and notices. Only entire units
 match: a licence name inside a sentence is no hit. The digest table is as long
 as the list of known texts, so it may be broadcast; texts aren't shuffled, only
-the hits are grouped.
+the hits are grouped. A caller's table is broadcast only if it is counted to be short.
 
 Defined results: null and empty texts have no hit; a unit that is only copyright
-lines is empty and never matches; rows that share an id get the hits of all of
-them; an empty table gives an empty result; other columns are not read.
+lines is empty and never matches; rows that share an id, or have none, get the hits of their own
+text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinela.llm.common import documents
+from sentinela.llm.common import documents, few_joined
 
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -186,7 +186,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
         for a in anchors:
             may = may | F.contains(low, F.lit(a))
         n = F.when(may, n).otherwise("")
-    base = docs.select(F.col(id_col).alias("id"), n.alias("n"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), n.alias("n"))
     lines = F.transform(F.split("n", "\n"), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("t")))
     blocks = F.transform(F.split("n", r"\n\n+"), lambda x: F.struct(F.lit("paragraph").alias("unit"), flat(x).alias("t")))
     whole = F.array(F.struct(F.lit("text").alias("unit"), flat(F.col("n")).alias("t")))
@@ -200,19 +200,20 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
         run = lambda x, k: F.struct(F.lit("run").alias("unit"), F.array_join(F.slice("b", x["i"] + 1, k), " ").alias("t"))
         runs = F.transform(at, lambda x: F.transform(F.filter(F.try_element_at(most, x["x"]), lambda k: x["i"] + k <= F.size("b")), lambda k: run(x, k)))
         units = F.concat(units, F.flatten(runs))
-    exploded = base.select("id", F.explode(units).alias("u")).where("u.t <> ''")
-    keyed = exploded.select("id", "u.unit", F.sha2(F.col("u.t").cast("binary"), 256).alias("digest"))
+    exploded = base.select("id", "th", F.posexplode(units).alias("at", "u")).where("u.t <> ''")
+    keyed = exploded.select("id", "th", "at", "u.unit", F.sha2(F.col("u.t").cast("binary"), 256).alias("digest"))
     hits = (
-        keyed.join(F.broadcast(known), "digest")  # as many rows as known texts
-        .groupBy("id")
+        few_joined(keyed, known, "digest").dropDuplicates(["id", "th", "at", "licence"])  # rows repeated whole count once
+        .groupBy("id", "th")
         .agg(
             F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"),
             F.count(F.when(F.col("unit") == "line", 1)).alias("n_hits"),
             F.min(F.when(F.col("unit") == "text", F.col("licence"))).alias("whole"),
         )
+        .withColumnsRenamed({"id": "hit_id", "th": "hit_th"})
     )
-    ids = docs.select(F.col(id_col).alias("id"))
-    return ids.join(hits, "id", "left").select(
+    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    return ids.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left").select(
         F.col("id").alias(id_col),
         F.coalesce("licences", F.lit("")).alias("licences"),
         F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"),
@@ -231,19 +232,20 @@ def _oracle() -> str:
     values = ", ".join(f"('{d}', '{name}')" for d, name in digests())
     return rf"""
 WITH known(digest, licence) AS (VALUES {values}),
-n AS (SELECT doc_id, {n} AS n FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+n AS (SELECT row, {n} AS n FROM d),
 u AS (
-  SELECT doc_id, 'text' AS unit, n AS t FROM n
-  UNION ALL SELECT doc_id, 'line', unnest(string_split(n, chr(10))) FROM n
-  UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(n, '\n\n+')) FROM n WHERE contains(n, chr(10) || chr(10))
+  SELECT row, 'text' AS unit, n AS t FROM n
+  UNION ALL SELECT row, 'line', unnest(string_split(n, chr(10))) FROM n
+  UNION ALL SELECT row, 'paragraph', unnest(regexp_split_to_array(n, '\n\n+')) FROM n WHERE contains(n, chr(10) || chr(10))
 ),
 h AS (
-  SELECT doc_id, unit, licence
-  FROM (SELECT doc_id, unit, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM u) JOIN known ON sha256(t) = digest
+  SELECT row, unit, licence
+  FROM (SELECT row, unit, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM u) JOIN known ON sha256(t) = digest
 )
 SELECT d.doc_id, coalesce(string_agg(DISTINCT h.licence, ',' ORDER BY h.licence), '') AS licences,
        count(*) FILTER (WHERE h.unit = 'line') AS n_hits, min(CASE WHEN h.unit = 'text' THEN h.licence END) AS whole
-FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id
+FROM d LEFT JOIN h ON d.row = h.row GROUP BY d.row, d.doc_id
 """
 
 
