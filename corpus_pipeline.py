@@ -16,20 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
-from sentinela.llm.common import documents, written
-
-
-def _row_of(docs: DataFrame) -> str:
-    """A column name that ``docs`` doesn't have."""
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
-    return name
+from sentinela.llm.common import documents, fresh, written
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows with their stored number, and its name."""
-    row = _row_of(docs)
+    row = fresh(docs, "_row")
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
@@ -40,9 +32,7 @@ def _keep(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, row = _rows(docs)
-    # The ledger is a stored table; a filter on its expressions would evaluate them again.
-    ledger = written(quality_rules.ledger(rows, id_col=row), "ledger")
-    return _keep(rows, row, quality_rules.verdict(ledger).where("kept"))
+    return _keep(rows, row, quality_rules.verdict(quality_rules.stored_ledger(rows, id_col=row)).where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +51,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = _row_of(docs)
-    # The plan draws by id: the doc_id, and with it the row's number where that isn't its own.
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias(row)).where(F.col(row) > 1)
-    own = F.when(F.col("doc_id").isNull() | F.col(row).isNotNull(), F.concat_ws("#", F.col("doc_id").cast("string"), F.lit(""), F.monotonically_increasing_id().cast("string")))
-    rows = written(docs.join(twice, "doc_id", "left").withColumn(row, own.otherwise(F.col("doc_id").cast("string"))), "rows")
-    return mixing.mix(rows, id_col=row).drop(row).select(docs.columns)
+    return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

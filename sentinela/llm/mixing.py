@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentinela.llm.common import documents, words_of, written
+from sentinela.llm.common import documents, fresh, words_of, written
 
 GRID = 1 << 20
 BLOCK_TOKENS = 65_536
@@ -172,13 +172,20 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repetition: f
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mixed table: all columns of ``docs``, each row as often as the plan shows it."""
-    times = plan(docs, id_col=id_col, **how).groupBy(id_col).agg(F.count(F.lit(1)).alias("_times"))
-    each = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
-    times = times.join(each, [times[id_col].eqNullSafe(each[id_col])][0]).select(times[id_col].alias("_id"), (F.col("_times") / F.col("_rows")).cast("int").alias("_times"))
-    joined = docs.join(times, docs[id_col].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_n")
+def mix(docs: DataFrame, id_col: str = "doc_id", places: bool = False, **how) -> DataFrame:
+    """The mixed table: all columns of ``docs``, each row as often as the plan shows it. ``places`` adds
+    mix_epoch, mix_block and mix_position, the order in which to show them.
+
+    Rows are stored with a name of their own, by which the plan draws: the id, and the row's
+    number where several rows have that id or it is null."""
+    name, n = fresh(docs, "_name"), fresh(docs, "_rows")
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    shared = F.col(id_col).isNull() | F.col(n).isNotNull()
+    own = F.when(shared, F.concat_ws("#", F.col(id_col).cast("string"), F.lit(""), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(id_col).cast("string"))
+    rows = written(docs.join(twice, id_col, "left").withColumn(name, own).select(*docs.columns, name), "rows")
+    shown = plan(rows, id_col=name, **how).select(name, *[F.col(c).alias(f"mix_{c}") for c in ("epoch", "block", "position")])
+    mixed = rows.join(shown, name).drop(name)
+    return mixed if places else mixed.select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
