@@ -144,6 +144,10 @@ def test_licences(docs, empty):
     one = docs.sparkSession.createDataFrame([(1, "Copyright (c) 2020 X\n" + licences._MIT_BODY.upper().replace("SUBLICENSE", "sub-licence"))], "doc_id long, text string")
     assert licences.scan(one).first()["whole"] == "MIT"
     assert licences.scan(empty).count() == 0
+    notice = "Licensed under the MIT License."
+    rows = [(None, notice), (None, "none"), (1, notice), (1, notice), (1, "ISC License\nSPDX-License-Identifier: ISC"), (2, None)]
+    found = Counter((r["doc_id"], r["licences"], r["n_hits"]) for r in licences.scan(docs.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == {(None, "MIT", 1): 1, (None, "", 0): 1, (1, "MIT", 1): 2, (1, "ISC", 1): 1, (2, "", 0): 1}
 
 
 def test_licences_full_and_embedded(spark):
@@ -207,6 +211,13 @@ def test_mixing(docs, empty):
     cut = mixing.plan(docs, budget=total // 2).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
     assert sum(r["n"] for r in cut) <= total // 2
     assert sorted(mixing.mix(docs).columns) == sorted(docs.columns)
+    # Each row has shows of its own, and the places are those of the plan.
+    rows = [(1, "a b c", "s"), (1, "d e", "s"), (None, "f", "s"), (None, "g", "s"), (2, "h i j k l m n o p q r s", "t")]
+    one = docs.sparkSession.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_name", F.lit(0))
+    placed = mixing.mix(one, places=True).collect()
+    times = Counter(r["text"] for r in placed)
+    assert set(times) == {r[1] for r in rows} and max(times.values()) <= 3 and set(placed[0].asDict()) == {*one.columns, "mix_epoch", "mix_block", "mix_position"}
+    assert len({(r["source"], r["mix_epoch"], r["mix_block"], r["mix_position"]) for r in placed}) == len(placed) > 5
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
