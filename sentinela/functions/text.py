@@ -8,6 +8,7 @@ Regular expressions are written in ECMAScript semantics and translated to Java:
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,10 +94,39 @@ def first_chars(source: str) -> str | None:
 
 def _ends_in_word(source: str) -> bool:
     """Whether what stands at the end of ``source`` surely is one ASCII letter, digit or underscore."""
-    last = re.search(r"(\\.|\[(?:\\.|[^\]\\])*\]|[^\\])(\{[1-9]\d*(?:,\d*)?\}|\+)?$", source)
+    if source.endswith(")"):
+        starts = [k for k in range(len(source)) if source[k] == "(" and _group_end(source, k) == len(source) - 1]
+        inside = source[starts[0] + 1 : -1].removeprefix("?:") if starts else "?"
+        return not inside.startswith("?") and all(map(_ends_in_word, _branches(inside)))
+    last = re.search(r"(\\.|\[(?:\\.|[^\]\\])*\]|[^\\)])(\{[1-9]\d*(?:,\d*)?\}|\+)?$", source)
     return bool(last) and first_chars(last[1]) is not None
 
 
+def needs(source: str) -> set[str]:
+    """What every match of ``source`` holds: ``\\d`` for a digit, and signs that are no letters."""
+    branches = _branches(source)
+    if len(branches) > 1:
+        return set.intersection(*map(needs, branches))
+    source, k, out = branches[0], 0, set()
+    while k < len(source):
+        if source[k] == "(":
+            end = _group_end(source, k)
+            got = set() if re.match(r"\(\?[!<=]", source[k:]) else needs(source[k + 1 : end].removeprefix("?:"))
+        elif source[k] == "[":
+            end = _class_end(source, k)
+            got = {r"\d"} if re.fullmatch(r"(?:[0-9]-[0-9]|[0-9]|\\d)+", source[k + 1 : end]) else set()
+        elif source[k] == "\\":
+            end = k + 1
+            got = {r"\d"} if source[end] == "d" else set() if source[end].isalnum() else {source[end]}
+        else:
+            end, got = k, {source[k]} if source[k] in "@:/#%" else {r"\d"} if source[k].isdigit() else set()
+        more = re.match(r"[?*+]|\{[^}]*\}", source[end + 1 :])
+        if not (more and re.match(r"[?*]|\{0", more[0])):
+            out |= got
+        k = end + 1 + (len(more[0]) if more else 0)
+    return out
+
+
 def java_regex(source: str, flags: str = "g") -> str:
     """An ECMAScript pattern as a Java one.
 
@@ -109,7 +139,7 @@ def java_regex(source: str, flags: str = "g") -> str:
         if ch == "\\" and k + 1 < len(source):
             two = source[k : k + 2]
             if two == r"\b" and not inside:
-                head = first_chars(source[k + 2 :])
+                head = first_chars(_branches(source[k + 2 :])[0])
                 out.append(f"(?=[{head}]){_NOT_AFTER}" if head else _NOT_BEFORE if _ends_in_word(source[:k]) else _EDGE)
             elif two == r"\s":
                 out.append(_SPACES if inside else f"[{_SPACES}]")
@@ -141,18 +171,33 @@ def _cut(text: Column, marked: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
 
-def spans(text: Column, source: str, flags: str = "g") -> Column:
-    """All matches, left to right: array<struct<start,end,matched>>."""
-    regex = java_regex(source, flags)
+def bound(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the text and of whether it has a digit, both evaluated once."""
+    once = F.array(F.struct(text.alias("text"), F.coalesce(text.rlike("[0-9]"), F.lit(False)).alias("digits")))
+    return F.get(F.transform(once, lambda x: body(x["text"], x["digits"])), F.lit(0))
+
+
+def _marked(text: Column, source: str, regex: str, mark: str, digits: Column | None) -> Column:
+    """Spans of ``regex``, which ``mark`` puts between sentinels; cheap tests of what every match holds come first."""
+    held = needs(source)
+    test = text.rlike(regex)
+    for sign in sorted(held - {r"\d"}):
+        test = F.contains(text, F.lit(sign)) & test
+    if r"\d" in held:
+        test = (text.rlike("[0-9]") if digits is None else digits) & test
     clean = F.replace(text, F.lit("\u0001"), F.lit("\u0002"))
-    return F.when(F.coalesce(text.rlike(regex), F.lit(False)), _cut(text, F.regexp_replace(clean, regex, "\u0001$0\u0001"))).otherwise(F.array().cast(SPAN))
+    return F.when(F.coalesce(test, F.lit(False)), _cut(text, F.regexp_replace(clean, regex, mark))).otherwise(F.array().cast(SPAN))
+
 
+def spans(text: Column, source: str, flags: str = "g", digits: Column | None = None) -> Column:
+    """All matches, left to right: array<struct<start,end,matched>>. ``digits``: whether the text has one, if that is known."""
+    return _marked(text, source, java_regex(source, flags), "\u0001$0\u0001", digits)
 
-def group_spans(text: Column, before: str, group: str, after: str, flags: str = "g") -> Column:
+
+def group_spans(text: Column, before: str, group: str, after: str, flags: str = "g", digits: Column | None = None) -> Column:
     """Matches of ``group`` that stand between ``before`` and ``after``."""
-    regex = java_regex(f"({before})({group})({after})", flags)
-    clean = F.replace(text, F.lit("\u0001"), F.lit("\u0002"))
-    return F.when(F.coalesce(text.rlike(regex), F.lit(False)), _cut(text, F.regexp_replace(clean, regex, "$1\u0001$2\u0001$3"))).otherwise(F.array().cast(SPAN))
+    whole = f"({before})({group})({after})"
+    return _marked(text, whole, java_regex(whole, flags), "$1\u0001$2\u0001$3", digits)
 
 
 def splice(text: Column, findings: Column, replacement) -> Column:

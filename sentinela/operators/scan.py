@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sentinela.functions.text import disjoint, group_spans, spans
+from sentinela.functions.text import bound, disjoint, group_spans, spans
 from sentinela.operators import patterns as P
 from sentinela.operators.checksums import VALIDATORS
 
@@ -30,8 +30,12 @@ def _all(parts: list[Column]) -> Column:
 
 def detect_pii(text: Column, patterns: Sequence[P.Pattern] = P.DEFAULT) -> Column:
     """Matches of the patterns, de-overlapped; no names and no birth dates by default."""
-    parts = [_tagged(spans(text, p.source, p.flags), k, pattern_id=p.id, label=p.label, confidence=p.confidence, mask_format=p.mask) for k, p in enumerate(patterns)]
-    return F.coalesce(disjoint(_all(parts), _MATCH_FIELDS), F.array().cast(MATCH))
+
+    def found(text: Column, digits: Column) -> Column:
+        tags = lambda p: {"pattern_id": p.id, "label": p.label, "confidence": p.confidence, "mask_format": p.mask}
+        return disjoint(_all([_tagged(spans(text, p.source, p.flags, digits), k, **tags(p)) for k, p in enumerate(patterns)]), _MATCH_FIELDS)
+
+    return F.coalesce(bound(text, found), F.array().cast(MATCH))
 
 
 def detect_secrets(text: Column) -> Column:
@@ -55,13 +59,17 @@ def ner_findings(text: Column, prio: int = 0) -> Column:
 def scan(text: Column, patterns: Sequence[P.Pattern] = P.SCAN, extra: Sequence[P.Pattern] = (), name_rule: tuple[str, str, str] | None = P.NAME_RULE, ner: bool = False) -> Column:
     """Findings of patterns, extra patterns, the name rule and, if asked for, the NER rules."""
     every = [*patterns, *extra]
-    parts = [_tagged(spans(text, p.source, p.flags), k, category=p.kind, label=p.label, suggestion=p.mask) for k, p in enumerate(every)]
-    if name_rule:
-        names = F.filter(group_spans(text, *name_rule), lambda m: F.length(m["matched"]) > 3)
-        parts.append(_tagged(names, len(parts), category="name", label=P.NAME_LABEL, suggestion=P.NAME_MASK))
-    if ner:
-        parts.append(ner_findings(text, len(parts)))
-    return F.coalesce(disjoint(_all(parts), _FINDING_FIELDS), F.array().cast(FINDING))
+
+    def found(text: Column, digits: Column) -> Column:
+        parts = [_tagged(spans(text, p.source, p.flags, digits), k, category=p.kind, label=p.label, suggestion=p.mask) for k, p in enumerate(every)]
+        if name_rule:
+            names = F.filter(group_spans(text, *name_rule, digits=digits), lambda m: F.length(m["matched"]) > 3)
+            parts.append(_tagged(names, len(parts), category="name", label=P.NAME_LABEL, suggestion=P.NAME_MASK))
+        if ner:
+            parts.append(ner_findings(text, len(parts)))
+        return disjoint(_all(parts), _FINDING_FIELDS)
+
+    return F.coalesce(bound(text, found), F.array().cast(FINDING))
 
 
 def _valid(name: str):
