@@ -338,14 +338,14 @@ def test_substring_dedup_planted(spark):
 
 def test_substring_dedup_rows_of_one_id_and_nulls(spark):
     rng = random.Random(53)
-    a, b, c = prose(80, rng), prose(90, rng), prose(30, rng)
+    a, b, c = prose(80, rng), prose(90, rng), prose(60, rng)
     rows = [(1, a), (1, b + " " + c), (2, c + "\n" + b), (3, a), (None, a), (4, None), (5, prose(19, rng)), (6, ""), (7, a), (7, a)]
     got = defaultdict(list)
     for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.lit(1)).withColumn("hits", F.lit("x"))).collect():
         got[r["doc_id"]].append((r["start"], r["end"], r["n_words"], r["component_doc"], r["removed"]))
     whole = (0, len(a), 80, 1)
-    assert sorted(got[1]) == sorted([(*whole, False), (0, len(b) + 1 + len(c), 120, 1, False)]) and got[3] == got[None] == got[7] == [(*whole, True)]
-    assert all(x[3:] == (1, True) for x in got[2]) and sum(x[2] for x in got[2]) == 120 and set(got) == {1, 2, 3, 7, None}
+    assert sorted(got[1]) == sorted([(*whole, False), (0, len(b) + 1 + len(c), 150, 1, False)]) and got[3] == got[None] == got[7] == [(*whole, True)]
+    assert all(x[3:] == (1, True) for x in got[2]) and sum(x[2] for x in got[2]) == 150 and set(got) == {1, 2, 3, 7, None}
 
 
 def test_substring_dedup_similar_lines(spark):
