@@ -128,7 +128,7 @@ SELECT g.doc_id, o.out AS output, CASE WHEN g.sensitivity = 'critical' THEN {q(B
 FROM grade g JOIN out o ON o.doc_id = g.doc_id LEFT JOIN seen s ON s.doc_id = g.doc_id"""
 
 
-def mask_partial(corpus: str) -> str:
+def mask_partial(corpus: str, patterns: Sequence[P.Pattern] = P.DEFAULT, names: bool = False) -> str:
     d = "regexp_replace(k.m, '[^0-9]', '', 'g')"
     dom = "split_part(k.m, '@', 2)"
     tld = f"'.' || string_split({dom}, '.')[-1]"
@@ -137,7 +137,7 @@ def mask_partial(corpus: str) -> str:
       WHEN k.id = 'cnpj' AND len({d}) = 14 THEN '**.' || substr({d}, 3, 3) || '.' || substr({d}, 6, 3) || '/****-**'
       WHEN k.id = 'telefone' AND len({d}) >= 10 THEN '(' || left({d}, 2) || ') ****-' || right({d}, 4)
       WHEN k.id = 'email' THEN left(k.m, 1) || '***@' || left({name}, 1) || repeat('*', greatest(1, len({name}) - 1)) || {tld} ELSE k.mask END"""
-    return findings(corpus, P.DEFAULT, False) + spliced(expr) + "\nSELECT doc_id, out AS output FROM out"
+    return findings(corpus, patterns, names) + spliced(expr) + "\nSELECT doc_id, out AS output FROM out"
 
 
 def opaque(corpus: str, seed: str) -> str:
@@ -154,23 +154,26 @@ def named(corpus: str) -> str:
 SELECT doc_id, '[' || key || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, key ORDER BY last_start DESC) AS VARCHAR), 4, '0') || ']' AS token, m AS original FROM keyed"""
 
 
-def violations(corpus: str, blocked: Sequence[str] = ()) -> str:
+def violations(
+    corpus: str, blocked: Sequence[str] = (), known: Sequence[str] = E.KNOWN_ACRONYMS, absolute: Sequence[str] = E.ABSOLUTE, fabricated: Sequence[str] = E.FABRICATED,
+    promise: Sequence[str] = E.PROMISE, context: str = E.PRIVACY_CONTEXT,
+) -> str:
     """Per document: counts by category, score, passed."""
     ctes, union = [], []
-    known = ", ".join(map(q, E.KNOWN_ACRONYMS))
+    listed = ", ".join(map(q, known)) or "''"
     for k, e in enumerate(blocked):
         ctes.append(_parts(f"b{k}", "corpus", _whole("text", q("(?i)" + E.quoted(e))), "'blocked_entity' AS category"))
         union.append(f"SELECT doc_id, category FROM b{k}")
     ctes.append(_parts("acr", "corpus", _whole("text", q(r"\b[A-Z]{2,5}\b")), "'invented_acronym' AS category"))
-    union.append(f"SELECT doc_id, category FROM acr WHERE m NOT IN ({known}) AND NOT regexp_matches(before, '(\\(|— )$')")
-    for k, p in enumerate(E.ABSOLUTE):
+    union.append(f"SELECT doc_id, category FROM acr WHERE m NOT IN ({listed}) AND NOT regexp_matches(before, '(\\(|— )$')")
+    for k, p in enumerate(absolute):
         bare = p.replace(r"(?<!\d)", "")
         ctes.append(_parts(f"a{k}", "corpus", _whole("text", q("(?i)" + bare)), "'absolute_claim' AS category"))
         union.append(
             f"""SELECT a.doc_id, category FROM a{k} a JOIN corpus c ON c.doc_id = a.doc_id WHERE NOT (m = '100%' AND regexp_matches(before, '[0-9]$'))
-            AND NOT regexp_matches(substr(c.text, greatest(start - 39, 1), "end" + 40 - greatest(start - 40, 0)), {q('(?i)' + E.PRIVACY_CONTEXT)})"""
+            AND NOT regexp_matches(substr(c.text, greatest(start - 39, 1), "end" + 40 - greatest(start - 40, 0)), {q('(?i)' + context)})"""
         )
-    for name, group in (("fabricated_data", E.FABRICATED), ("false_promise", E.PROMISE)):
+    for name, group in (("fabricated_data", fabricated), ("false_promise", promise)):
         for k, p in enumerate(group):
             ctes.append(_parts(f"{name}{k}", "corpus", _whole("text", q("(?i)" + p)), f"{q(name)} AS category"))
             union.append(f"SELECT doc_id, category FROM {name}{k}")

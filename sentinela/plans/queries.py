@@ -142,6 +142,12 @@ def partial(spark, sf_dir):
     return synthetic(spark, sf_dir).select("doc_id", mask.mask_pii(F.col("text"), None, "partial").alias("output"))
 
 
+@query("mask_partial_strict", O.mask_partial(corpora.SYNTHETIC, P.SCAN, True))
+def partial_strict(spark, sf_dir):
+    d = synthetic(spark, sf_dir).withColumn("f", scan.scan(F.col("text")))
+    return d.select("doc_id", mask.masked(F.col("text"), F.col("f"), "partial", strict=True).alias("output"))
+
+
 @query("mask_subset", O.findings(corpora.SYNTHETIC, [p for p in P.DEFAULT if p.id in ("cpf", "email")], False) + O.spliced("k.mask") + " SELECT doc_id, out AS output FROM out")
 def subset(spark, sf_dir):
     return synthetic(spark, sf_dir).select("doc_id", mask.mask_pii(F.col("text"), ("cpf", "email")).alias("output"))
@@ -201,9 +207,9 @@ def token_stats(spark, sf_dir):
     return tokens.stats_by_key(vault(spark, sf_dir))
 
 
-def _ethics(make, blocked):
+def _ethics(make, blocked, **lists):
     def run(spark, sf_dir):
-        d = make(spark, sf_dir).withColumn("v", ethics.violations(F.col("text"), blocked))
+        d = make(spark, sf_dir).withColumn("v", ethics.violations(F.col("text"), blocked, **lists))
         n = lambda c: F.size(F.filter("v", lambda x: x["category"] == c)).cast("long")
         return d.select(
             "doc_id", n("blocked_entity").alias("n_blocked"), n("invented_acronym").alias("n_acronym"), n("absolute_claim").alias("n_absolute"), n("fabricated_data").alias("n_fabricated"),
@@ -218,6 +224,11 @@ for _c, (_make, _sql) in _CORPORA.items():
     query(f"ethics_{_c}", O.violations(_sql, _b))(_ethics(_make, _b))
 
 
+#: Every list of the claims layer replaced.
+_OWN = {"known": ("XYZW",), "absolute": (r"\b(limpo|diabetes)\b",), "fabricated": (r"\bplaca\b",), "promise": (r"\b(cliente|contato)\b", "teste"), "context": "portador"}
+query("ethics_own_lists", O.violations(corpora.SYNTHETIC, ("teste", "situa"), **_OWN))(_ethics(synthetic, ("teste", "situa"), **_OWN))
+
+
 @query("ethics_filter_chunk", f"SELECT doc_id, regexp_replace(text, '(?i){'|'.join(BLOCKED)}', '***', 'g') AS text FROM ({corpora.SYNTHETIC}) t")
 def chunk(spark, sf_dir):
     return synthetic(spark, sf_dir).select("doc_id", ethics.filter_chunk(F.col("text"), BLOCKED).alias("text"))
@@ -249,6 +260,26 @@ def chains(spark, sf_dir):
     return d.select("c_custkey", F.col("c.auditHash").alias("audit_hash"), F.col("c.overallConfidence").alias("overall"), evidence.block(F.col("c")).alias("block"), evidence.valid(F.col("c")).alias("valid"))
 
 
+@query("evidence_shapes", f"""
+WITH c AS (SELECT c_custkey, c_name, c_custkey % 4 AS k FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN 'medium' WHEN 1 THEN 'speculative' WHEN 2 THEN 'low' ELSE 'certain' END AS confidence, k >= 2 AS verifiable,
+       CASE k WHEN 0 THEN 'medium' WHEN 1 THEN 'speculative' WHEN 2 THEN 'low' ELSE 'high' END AS overall, k <> 1 AS valid,
+       CASE WHEN k = 1 THEN NULL ELSE 'ev-' || left(sha256('modelo|' || c_name), 12) END AS evidence_id, 'ev-' || sha256('{{"responseId":"r","createdAt":"{AT}","claims":[]}}') AS empty_hash, 'speculative' AS empty_overall
+FROM c""")
+def shapes(spark, sf_dir):
+    k, at = F.col("c_custkey") % 4, F.lit(AT)
+    made = lambda kind, level: evidence.evidence(kind, F.lit("modelo"), F.col("c_name"), F.lit(level), at)
+    none = F.array().cast(f"array<{evidence.EVIDENCE}>")
+    items = F.when(k == 0, F.array(made("inference", "medium"))).when(k == 1, none).when(k == 2, F.array(made("inference", "low"), made("tool_call", "certain"))).otherwise(F.array(made("document", "low")))
+    c = evidence.claim(F.col("c_name"), items, F.when(k == 3, F.lit("certain")))
+    claims = F.when(k == 3, F.array(c, evidence.tool_claim(F.lit("x"), F.lit("y"), F.lit("z"), at))).otherwise(F.array(c))
+    d = table(spark, sf_dir, "customer").select("c_custkey", c.alias("c"), evidence.chain(F.lit("r"), at, claims).alias("h"), evidence.chain(F.lit("r"), at, F.array().cast(f"array<{evidence.CLAIM}>")).alias("e"))
+    return d.select(
+        "c_custkey", "c.confidence", "c.verifiable", F.col("h.overallConfidence").alias("overall"), evidence.valid(F.col("h")).alias("valid"), F.get("c.evidence", F.lit(0))["id"].alias("evidence_id"),
+        F.col("e.auditHash").alias("empty_hash"), F.col("e.overallConfidence").alias("empty_overall"),
+    )
+
+
 _ROW = """'{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}'"""
 
 
@@ -271,6 +302,34 @@ def receipts(spark, sf_dir):
     return d.select("doc_id", F.col("receipt.inputHash").alias("input_hash"), F.col("receipt.outputHash").alias("output_hash"), F.col("receipt.inspectionHash").alias("inspection_hash"))
 
 
+_BOUND = f"""WITH c AS (
+  SELECT c_custkey, c_name AS t, c_mktsegment AS o, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' http://x.example/' || c_custkey || ' ' END AS url, CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN ' ' ELSE 'api' END AS m,
+         CASE WHEN c_custkey % 2 = 0 THEN '{{"k":' || c_custkey || '}}' END AS r, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'q' || c_custkey END AS qu FROM customer
+), k AS (SELECT *, url <> '' AND m <> '' AS known FROM c), f AS (
+  SELECT *, CASE WHEN known THEN sha256(trim(url) || '|' || trim(m) || '|{AT}') END AS fp, CASE WHEN known AND r IS NOT NULL THEN 'source_row_bound' WHEN known THEN 'source_context' ELSE 'inspection_only' END AS level FROM k
+)
+SELECT c_custkey, level, sha256('{{"inputHash":"' || sha256(t) || '","outputHash":"' || sha256(o) || '","inspectedAt":"{AT}","evidenceHash":"ev-1","sourceFingerprint":' || coalesce('"' || fp || '"', 'null')
+         || ',"guardVersion":"{provenance.VERSION}","provenanceLevel":"' || level || '"}}') AS inspection_hash, CASE WHEN known THEN trim(url) END AS source_url, CASE WHEN known THEN CASE WHEN trim(m) = '' THEN 'unknown' ELSE m END END AS source_method,
+       CASE WHEN known THEN sha256(r) END AS raw_line_hash, CASE WHEN known AND r IS NOT NULL THEN 'verified' END AS audit_status, fp AS source_fingerprint, CASE WHEN known AND qu <> '' THEN sha256(qu) END AS query_hash, CASE WHEN known THEN 'id' END AS record_id
+FROM f"""
+
+
+@query("receipts_sources", _BOUND)
+def receipts_sources(spark, sf_dir):
+    k = F.col("c_custkey")
+    url = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" http://x.example/"), k.cast("string"), F.lit(" ")))
+    method = F.when(k % 5 == 0, "").when(k % 5 == 1, " ").otherwise("api")
+    row = F.when(k % 2 == 0, F.concat(F.lit('{"k":'), k.cast("string"), F.lit("}")))
+    asked = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("q"), k.cast("string")))
+    r = provenance.receipt(F.col("c_name"), F.col("c_mktsegment"), F.lit(AT), F.lit("ev-1"), url=url, method=method, row=row, query=asked, record_id=F.lit("id"))
+    d = table(spark, sf_dir, "customer").select("c_custkey", r.alias("r"))
+    s = "r.source."
+    return d.select(
+        "c_custkey", F.col("r.provenanceLevel").alias("level"), F.col("r.inspectionHash").alias("inspection_hash"), s + "source_url", s + "source_method", s + "raw_line_hash", s + "audit_status", s + "source_fingerprint",
+        F.col(s + "queryHash").alias("query_hash"), F.col(s + "recordId").alias("record_id"),
+    )
+
+
 def _inspected(df: DataFrame, blocked=()) -> DataFrame:
     d = guard.inspect(df, config=guard.Config(blocked_entities=blocked, critical_action="block"), inspected_at=F.lit(AT))
     return d.select("doc_id", "output", "safe", "blocked", "score", "sensitivity", F.size("findings").alias("n_findings"), "summary")
