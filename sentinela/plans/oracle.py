@@ -144,12 +144,14 @@ def opaque(corpus: str, seed: str) -> str:
     return findings(corpus) + spliced(f"'[PII:' || upper(k.category) || ':' || left(sha256({q(seed + '|')} || k.m), 8) || ']'") + "\nSELECT doc_id, out AS tokenized FROM out"
 
 
-def named(corpus: str) -> str:
+def named(corpus: str, offline: bool = False) -> str:
+    """The named vault; ``offline``: of the check-digit engine, whose categories are keys."""
     keys = " ".join(f"WHEN {q(c)} THEN {q(k)}" for c, k in P.KEYS.items())
-    return findings(corpus) + f""", lastly AS (
+    key = "category" if offline else f"CASE category {keys} ELSE regexp_replace(upper(category), '[^A-Z0-9]', '', 'g') END"
+    return (findings(corpus, P.OFFLINE, False, by_key=True) if offline else findings(corpus)) + f""", lastly AS (
   SELECT doc_id, m, max(start) AS last_start, max_by(category, start) AS category FROM kept GROUP BY doc_id, m
 ), keyed AS (
-  SELECT *, CASE category {keys} ELSE regexp_replace(upper(category), '[^A-Z0-9]', '', 'g') END AS key FROM lastly
+  SELECT *, {key} AS key FROM lastly
 )
 SELECT doc_id, '[' || key || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id, key ORDER BY last_start DESC) AS VARCHAR), 4, '0') || ']' AS token, m AS original FROM keyed"""
 
