@@ -3,7 +3,7 @@
 1. Texts that are equal as a whole are one document, so a hot group of copies is not
    cut up: its copies are removals from their first to their last word.
 2. Every line of ``PASSAGE_WORDS`` words or more is a paragraph. Its five-word shingles get
-   a MinHash in bands of three values, whose number is tuned for the recall asked for at
+   a MinHash in bands of two values, whose number is tuned for the recall asked for at
    the threshold. Paragraphs that collide are compared with hubs, not in all pairs
    (``near.link``), confirmed by exact Jaccard, and clustered by components.
 3. A passage inside longer lines is found by content-defined pieces of the document's
@@ -12,13 +12,13 @@
    one of ``2 * NEAR + 4`` words (50) or more always holds a whole piece.
 4. Both show where to look; the true ends come from the words: every run of
    ``PASSAGE_WORDS`` words within reach of a repeated piece is compared with all others.
-   The run of the smallest (doc_id, word) stays and the others are removals; so do the
+   The runs of the smallest doc_id stay and the others are removals; so do the
    paragraphs of a cluster but its first.
 
 Defined results: ids are integers. Null texts and texts of under ``PASSAGE_WORDS`` words have
-no passage; a passage that repeats only inside one document is not a removal; rows that
-share a doc_id are judged each by its own text, and rows repeated whole are one document; a
-null doc_id ranks behind every other; an empty table gives an empty result; other columns
+no passage; a passage that repeats only inside one document is not a removal, and rows that
+share a doc_id are one document, each with spans of its own text; so are rows without one, which
+rank behind every other; an empty table gives an empty result; other columns
 are not read. Shingles, pieces and runs of words are compared by 64-bit hashes, whole texts by
 a 64-bit hash and their length.
 """
@@ -39,7 +39,7 @@ from sentinela.llm.near import PART, Linker, band_keys, link, mixed, shingles, s
 
 WIDTH = 5
 THRESHOLD = (80, 100)
-ROWS = 3
+ROWS = 2
 BANDS = tune(0.8, 0.99, ROWS)
 MISS = 1e-6
 NEAR = 23
@@ -85,33 +85,33 @@ def _sources(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 
 def _pieces_of(singles: DataFrame) -> DataFrame:
-    """(digest, d, start, end) of every piece."""
+    """(digest, doc, d, start, end) of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, PART):
                 part = batch.slice(at, PART)
                 digests, ds, cuts = [], [], []
-                for d, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for doc, d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                     h = shingles(_text_ids(text.as_py()), WIDTH)
                     cut = pieces(h)
                     if len(cut) > 1:
                         # Shingles overlap, so their sum stands for the piece as it is.
                         digests.append(np.add.reduceat(mixed(h), cut)[:-1])
-                        ds.append(np.full(len(cut) - 1, d))
+                        ds.append(np.tile(np.array([[doc], [d]]), len(cut) - 1))
                         cuts.append((cut[:-1], cut[1:]))
                 if digests:
                     starts, ends = (np.concatenate(x).astype(np.int32) for x in zip(*cuts, strict=True))
-                    cols = [pa.array(np.concatenate(digests).view(np.int64)), pa.array(np.concatenate(ds), pa.int64()), pa.array(starts), pa.array(ends)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "d", "start", "end"])
+                    cols = [pa.array(np.concatenate(digests).view(np.int64)), *map(pa.array, np.concatenate(ds, axis=1)), pa.array(starts), pa.array(ends)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["digest", "doc", "d", "start", "end"])
 
-    return singles.select("d", "text").mapInArrow(run, "digest bigint, d bigint, start int, end int")
+    return singles.select("doc", "d", "text").mapInArrow(run, "digest bigint, doc bigint, d bigint, start int, end int")
 
 
 def repeated_pieces(singles: DataFrame) -> DataFrame:
-    """(d, hits): the pieces of each document that another one has as well."""
+    """(d, hits): the pieces of each text that another document has as well."""
     every = written(_pieces_of(singles), "pieces")
-    shared = every.groupBy("digest").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("digest")
+    shared = every.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("digest")
     found = few_joined(every, written(shared, "shared"), "digest")
     out = written(found.groupBy("d").agg(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("hits")), "hits")  # bounded by the text
     drop_written(every)
@@ -122,7 +122,7 @@ def similar_lines(singles: DataFrame, threshold: tuple[int, int] = THRESHOLD, pa
     """(d, alike): the lines of each document in a cluster of different paragraphs of several
     documents: line number, c (smallest document of the cluster), r (not its first paragraph)."""
     lines = singles.select("d", "doc", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    lines = lines.where(F.size(F.split(F.btrim("text", F.lit(" \t\x0b\x0c\r")), r"[\x20\x09-\x0D]+")) >= passage_words)
+    lines = lines.where(F.length("text") >= 2 * passage_words - 1)  # so many words have so many characters
     every = signatures(lines, "d", "text", WIDTH, rows * bands, also=["doc", "line"])
     # Equal paragraphs are one node, named by the digest of their shingles.
     node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
@@ -133,7 +133,7 @@ def similar_lines(singles: DataFrame, threshold: tuple[int, int] = THRESHOLD, pa
         drop_written(every)
         return singles.sparkSession.createDataFrame([], "d bigint, alike array<struct<line:int,c:bigint,r:boolean>>")
     mine = few_joined(every.select("d", "doc", "line", "node"), comp, "node")
-    first = mine.groupBy("component").agg(F.min(F.struct("doc", "d", "line")).alias("first"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("component", "first")
+    first = mine.groupBy("component").agg(F.min(F.struct("doc", "d", "line")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("component", "first")
     entry = F.struct("line", F.col("first.doc").alias("c"), (F.col("first") != F.struct("doc", "d", "line")).alias("r"))
     out = written(mine.join(first, "component").groupBy("d").agg(F.collect_list(entry).alias("alike")), "alike")  # bounded by the text
     drop_written(every)
@@ -172,13 +172,10 @@ def _windows(own: DataFrame, passage_words: int) -> DataFrame:
 
 
 def _repeated_runs(own: DataFrame, passage_words: int) -> DataFrame:
-    """(d, seen): where each document has a run that another one has: at, c (smallest document with it), r (not the first)."""
+    """(d, seen): where each text has a run that another document has: at, c (smallest document with it)."""
     every = written(_windows(own, passage_words), "windows")
-    first = F.min(F.struct("doc", "d", "at")).alias("first")
-    shared = every.groupBy("key").agg(first, F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("key", F.col("first.doc").alias("c"), F.col("first.d").alias("first_d"), F.col("first.at").alias("first_at"))
-    spot = F.struct("at", "c", ((F.col("first_d") != F.col("d")) | (F.col("first_at") != F.col("at"))).alias("r"))
-    found = few_joined(every, written(shared, "shared"), "key")
-    out = written(found.groupBy("d").agg(F.collect_list(spot).alias("seen")), "seen")  # bounded by the text
+    shared = every.groupBy("key").agg(F.min("doc").alias("c"), F.max("doc").alias("hi")).where("c <> hi").select("key", "c")
+    out = written(every.select("key", "d", "at").join(shared, "key").groupBy("d").agg(F.collect_list(F.struct("at", "c")).alias("seen")), "seen")  # bounded by the text
     drop_written(every)
     return out
 
@@ -200,8 +197,8 @@ def _spans(rows: DataFrame, id_col: str, passage_words: int) -> DataFrame:
                 # Runs of words: first, after the last, smallest document that has it, goes.
                 runs = [(np.zeros(0, np.int64),) * 4]
                 if seen.is_valid:
-                    at, c, r = _fields(seen, "at", "c", "r")
-                    runs.append((at, at + passage_words, c, r))
+                    at, c = _fields(seen, "at", "c")
+                    runs.append((at, at + passage_words, c, c != doc))
                 if of is not None or copied:
                     runs.append(tuple(np.array([x]) for x in (0, n, doc if of is None else of, of is not None)))
                 if alike.is_valid:
