@@ -4,19 +4,24 @@
 returns a DataFrame that is written as Parquet and read again as the next one's
 ``docs``. All but the last keep the columns of ``docs``. A stage that leaves rows out
 or repeats them first stores them with a number of their own and decides on that, so
-rows that share a doc_id or have none are judged one by one.
+rows that share a doc_id or have none are judged one by one. A stage deletes what the stages
+before it have stored on the way, so its ``docs`` are to be the written result of the last one.
 
 Defined results: as in the operators; an empty table passes through every stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
-from sentinela.llm.common import documents, fresh, written
+from sentinela.llm.common import documents, drop_written, few_joined, fresh, made, sweep, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -27,7 +32,7 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def _keep(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     """The rows whose number is in ``kept``, without it."""
-    return rows.join(kept.select(row), row, "left_semi").drop(row)
+    return few_joined(rows, written(kept.select(row), "kept"), row, how="left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +63,28 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+_left: list[str] = []  # what the last stage has stored on the way
+
+
+def _swept(stage: Stage) -> Stage:
+    """The stage, which first deletes what the one before it has stored on the way."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, _left, docs)
+        before = len(made())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = made()[before:]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality),
-    ("exact_dedup", exact),
-    ("near_dedup", near),
-    ("source_mixing", mix),
-    ("bpe", tokens),
+    ("quality_rules", _swept(quality)),
+    ("exact_dedup", _swept(exact)),
+    ("near_dedup", _swept(near)),
+    ("source_mixing", _swept(mix)),
+    ("bpe", _swept(tokens)),
 ]
 
 #: The last stage has no SQL form; tests compare the rows with a brute-force version.
@@ -71,7 +92,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            drop_written(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_MADE: list[str] = []  # folders that ``written`` has made
 #: Rows of a few numbers each (at most 40 bytes) that may be broadcast; above it Spark shuffles.
 MOST_BROADCAST = 1_000_000
 
@@ -46,16 +47,32 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sentinela/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """The folders that ``written`` has made in this driver, in order."""
+    return list(_MADE)
+
+
+def sweep(spark: SparkSession, folders: list[str], keep: DataFrame) -> None:
+    """Delete folders that ``written`` has made, but for the files of ``keep``."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[-1] not in kept:
+            _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``written``."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def few_joined(df: DataFrame, keys: DataFrame, *on: str, how: str = "inner") -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentinela.llm.common import documents, fresh, words_of, written
+from sentinela.llm.common import documents, few_joined, fresh, words_of, written
 
 GRID = 1 << 20
 BLOCK_TOKENS = 65_536
@@ -182,9 +182,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", places: bool = False, **how) ->
     twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
     shared = F.col(id_col).isNull() | F.col(n).isNotNull()
     own = F.when(shared, F.concat_ws("#", F.col(id_col).cast("string"), F.lit(""), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(id_col).cast("string"))
-    rows = written(docs.join(twice, id_col, "left").withColumn(name, own).select(*docs.columns, name), "rows")
+    rows = written(few_joined(docs, written(twice, "twice"), id_col, how="left").withColumn(name, own).select(*docs.columns, name), "rows")
     shown = plan(rows, id_col=name, **how).select(name, *[F.col(c).alias(f"mix_{c}") for c in ("epoch", "block", "position")])
-    mixed = rows.join(shown, name).drop(name)
+    mixed = few_joined(rows, written(shown, "shown"), name).drop(name)
     return mixed if places else mixed.select(*docs.columns)
 
 
