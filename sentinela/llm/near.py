@@ -30,8 +30,6 @@ from sentinela.llm.common import components, drop_written, few_joined, written
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORDS: dict[bytes, int] = {}
-_MOST_WORDS = 200_000
 PART = 64  # texts compared at a time
 PART_CHARS = 200_000  # of the texts hashed at a time, so that their shingles stay in the CPU's cache
 #: Members of a hub that are compared in one run of rows; a larger group has several.
@@ -46,16 +44,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_ids(ws: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word, remembered by the worker."""
-    if len(_WORDS) > _MOST_WORDS:
-        _WORDS.clear()
-    get, out = _WORDS.get, []
-    for w in ws:
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    """A 64-bit hash of each word; hashing anew is faster than a large dictionary."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -151,9 +141,11 @@ def pass_mark(n: int, threshold: float, miss: float) -> int:
     return m
 
 
-def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values: int, also: Sequence[str] = ()) -> DataFrame:
+def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values: int, also: Sequence[str] = (), bits: int = 16) -> DataFrame:
     """(id, th, n, digest, sig, and the columns ``also``) of each row; th: hash of its text; digest and
-    sig are null for an empty set. A signature value is the top 16 bits of a 32-bit minimum."""
+    sig are null for an empty set. A signature value is the top 16 bits of a 32-bit minimum, or all 32.
+    Minima of n parts are about n times likelier to be equal by chance than their bits tell, so bands of
+    few values need all."""
     ship(rows.sparkSession)
     src = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"), *also)
 
@@ -162,7 +154,7 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values:
         for part in _parts(batches, 2):
             flat, size = shingle_sets([t.as_py() for t in part.column(2)], width)
             some = np.flatnonzero(size)
-            sig = np.zeros((len(some), values), np.uint16)
+            sig = np.zeros((len(some), values), f"u{bits // 8}")
             cut = np.cumsum(size[some]) - size[some]
             if len(some):
                 short = (flat >> np.uint64(32)).astype(np.uint32)
@@ -170,7 +162,7 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values:
                 for k in range(values):
                     np.multiply(short, mult[k], out=buf)
                     np.add(buf, add[k], out=buf)
-                    sig[:, k] = np.minimum.reduceat(buf, cut) >> np.uint32(16)
+                    sig[:, k] = np.minimum.reduceat(buf, cut) >> np.uint32(32 - bits)
             sigs, digests, raw = [None] * len(size), [None] * len(size), flat.tobytes()
             for j, (i, at) in enumerate(zip(some.tolist(), cut.tolist(), strict=True)):
                 sigs[i] = sig[j].tobytes()
@@ -182,18 +174,19 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, width: int, values:
     return src.mapInArrow(run, ", ".join(["id bigint, th bigint, n bigint, digest binary, sig binary", *(f"`{c}` {types[c]}" for c in also)]))
 
 
-def band_keys(sig: Column, rows: int, bands: int) -> Column:
-    """The band keys of a signature."""
-    return F.array(*[F.xxhash64(F.lit(b), F.substring(sig, 1 + 2 * rows * b, 2 * rows)) for b in range(bands)])
+def band_keys(sig: Column, rows: int, bands: int, bits: int = 16) -> Column:
+    """The band keys of a signature of values of ``bits``."""
+    size = bits // 8 * rows
+    return F.array(*[F.xxhash64(F.lit(b), F.substring(sig, 1 + size * b, size)) for b in range(bands)])
 
 
 class Linker:
     """Compares nodes. ``nodes``: (node, n, sig, and the columns ``at`` that find its text);
     ``texts``: (columns ``at``, text)."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame, at: list[str], width: int, threshold: tuple[int, int], batch: int, miss: float):
+    def __init__(self, nodes: DataFrame, texts: DataFrame, at: list[str], width: int, threshold: tuple[int, int], batch: int, miss: float, bits: int = 16):
         self.nodes, self.texts, self.at = nodes, texts, at
-        self.width, self.threshold, self.batch, self.miss = width, threshold, batch, miss
+        self.width, self.threshold, self.batch, self.miss, self.bits = width, threshold, batch, miss, bits
         self.made: list[DataFrame] = []
 
     def load(self, used: DataFrame) -> DataFrame:
@@ -220,16 +213,16 @@ class Linker:
         """(a, b) of the pairs (hub, node) that reach the threshold: sizes first, then the
         signatures batch by batch, then the full sets."""
         num, den = self.threshold
-        width, batch, level, miss = self.width, self.batch, num / den, self.miss
+        width, batch, level, miss, kind = self.width, self.batch, num / den, self.miss, f"u{self.bits // 8}"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks: list[tuple[int, int, int]] = []
-            n_hub, sig_hub, text_hub, set_hub = 0, np.zeros(0, np.uint16), "", None
+            n_hub, sig_hub, text_hub, set_hub = 0, np.zeros(0, kind), "", None
             for rb in batches:
                 a, b = [], []
                 hubs, member, nodes, sizes = (rb.column(k).to_pylist() for k in (0, 2, 3, 4))
                 for k in range(rb.num_rows):
-                    sig = np.frombuffer(rb.column(5)[k].as_py(), np.uint16)
+                    sig = np.frombuffer(rb.column(5)[k].as_py(), kind)
                     if not member[k]:
                         n_hub, sig_hub, text_hub, set_hub = sizes[k], sig, rb.column(6)[k], None
                         marks = marks or [(at, at + batch, pass_mark(min(at + batch, len(sig)), level, miss)) for at in range(0, len(sig), batch)]

@@ -3,7 +3,7 @@
 1. Texts that are equal as a whole are one document, so a hot group of copies is not
    cut up: its copies are removals from their first to their last word.
 2. Every line of ``PASSAGE_WORDS`` words or more is a paragraph. Its five-word shingles get
-   a MinHash in bands of two values, whose number is tuned for the recall asked for at
+   a MinHash in bands of two whole 32-bit values, whose number is tuned for the recall asked for at
    the threshold. Paragraphs that collide are compared with hubs, not in all pairs
    (``near.link``), confirmed by exact Jaccard, and clustered by components.
 3. A passage inside longer lines is found by content-defined pieces of the document's
@@ -25,7 +25,6 @@ a 64-bit hash and their length.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +33,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.functions.ship import ship
-from sentinela.llm.common import WORD, documents, drop_written, few_joined, written
+from sentinela.llm.common import documents, drop_written, few_joined, written
 from sentinela.llm.near import PART, Linker, band_keys, link, mixed, shingles, signatures, tune, word_ids, words
 
 WIDTH = 5
 THRESHOLD = (80, 100)
 ROWS = 2
 BANDS = tune(0.8, 0.99, ROWS)
+BITS = 32  # of a signature value; two of 16 bits are equal by chance in ever more pairs of lines
 MISS = 1e-6
 NEAR = 23
 #: A reported passage has at least so many words that another document has as well.
 PASSAGE_WORDS = 20
-_SPOT = re.compile(WORD)
 _LAST = np.iinfo(np.int64).max  # stands for a null doc_id, behind every other
 
 
@@ -73,6 +72,16 @@ def _text_ids(text: str | None) -> np.ndarray:
     return word_ids(words(text))
 
 
+def _spots(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts and ends, and how many words lie before each line, and before the text's end."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.zeros(len(code) + 2, bool)
+    word[1:-1] = (code != 32) & ((code < 9) | (code > 13))
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edge[::2], edge[1::2]
+    return start, end, np.concatenate([[0], np.searchsorted(start, np.flatnonzero(code == 10)), [len(start)]])
+
+
 def _sources(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(singles, copies). ``singles``: (d, doc, copied, text), one row for each distinct text;
     ``copies``: (doc, of, text), the other rows of a text that several have."""
@@ -123,12 +132,12 @@ def similar_lines(singles: DataFrame, threshold: tuple[int, int] = THRESHOLD, pa
     documents: line number, c (smallest document of the cluster), r (not its first paragraph)."""
     lines = singles.select("d", "doc", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     lines = lines.where(F.length("text") >= 2 * passage_words - 1)  # so many words have so many characters
-    every = signatures(lines, "d", "text", WIDTH, rows * bands, also=["doc", "line"])
+    every = signatures(lines, "d", "text", WIDTH, rows * bands, also=["doc", "line"], bits=BITS)
     # Equal paragraphs are one node, named by the digest of their shingles.
     node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     every = written(every.select(F.col("id").alias("d"), "doc", "line", node.alias("node"), "n", "sig"), "paragraphs")
-    linker = Linker(every.select("node", "n", "sig", "d", "line"), lines.select("d", "line", "text"), ["d", "line"], WIDTH, threshold, rows * bands, MISS)
-    comp = link(every.select("node", F.explode(band_keys(F.col("sig"), rows, bands)).alias("key")), linker)
+    linker = Linker(every.select("node", "n", "sig", "d", "line"), lines.select("d", "line", "text"), ["d", "line"], WIDTH, threshold, rows * bands, MISS, BITS)
+    comp = link(every.select("node", F.explode(band_keys(F.col("sig"), rows, bands, BITS)).alias("key")), linker)
     if comp is None:
         drop_written(every)
         return singles.sparkSession.createDataFrame([], "d bigint, alike array<struct<line:int,c:bigint,r:boolean>>")
@@ -157,16 +166,16 @@ def _windows(own: DataFrame, passage_words: int) -> DataFrame:
     """(key, doc, d, at): every run of ``passage_words`` words within reach of a repeated piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
+        for rb in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
+            found = []
             for d, doc, text, hits in zip(*rb.columns, strict=True):
-                ids = _text_ids(text.as_py())
-                if len(ids) < passage_words or not hits.is_valid:
+                if not hits.is_valid or len(ids := _text_ids(text.as_py())) < passage_words:
                     continue
                 outside = np.concatenate([[0], np.cumsum(~_reach(*_fields(hits, "s", "e"), len(ids)))])
                 at = np.flatnonzero(outside[passage_words:] == outside[:-passage_words])
-                key = shingles(ids, passage_words)[at].view(np.int64)
-                cols = [pa.array(key), *(pa.array(np.full(len(at), x.as_py()), pa.int64()) for x in (doc, d)), pa.array(at.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "d", "at"])
+                found.append((shingles(ids, passage_words)[at].view(np.int64), *(np.full(len(at), x.as_py(), np.int64) for x in (doc, d)), at.astype(np.int32)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["key", "doc", "d", "at"])
 
     return own.select("d", "doc", "text", "hits").mapInArrow(run, "key bigint, doc bigint, d bigint, at int")
 
@@ -192,28 +201,29 @@ def _spans(rows: DataFrame, id_col: str, passage_words: int) -> DataFrame:
             for row in range(rb.num_rows):
                 doc, text, of, copied = (rb.column(k)[row].as_py() for k in range(4))
                 alike, seen = rb.column(4)[row], rb.column(5)[row]
-                marks = [m.span() for m in _SPOT.finditer(text)]
-                n = len(marks)
+                opens, closes, ends = _spots(text)
+                n = len(opens)
+                first = np.full(n, _LAST)
                 # Runs of words: first, after the last, smallest document that has it, goes.
                 runs = [(np.zeros(0, np.int64),) * 4]
                 if seen.is_valid:
                     at, c = _fields(seen, "at", "c")
                     runs.append((at, at + passage_words, c, c != doc))
+                    least = np.full(n + passage_words - 1, _LAST)
+                    least[at + passage_words - 1] = c  # each place has one run
+                    first = _slide(least, passage_words, np.minimum)
                 if of is not None or copied:
                     runs.append(tuple(np.array([x]) for x in (0, n, doc if of is None else of, of is not None)))
                 if alike.is_valid:
                     line, c, r = _fields(alike, "line", "c", "r")
-                    ends = np.cumsum([0, *(len(_SPOT.findall(x)) for x in text.split("\n"))])
                     runs.append((ends[line], ends[line + 1], c, r))
-                start, end, least, goes = (np.concatenate(x).astype(np.int64) for x in zip(*runs, strict=True))
-                step, first = np.zeros((2, n + 1), np.int64), np.full(n, _LAST)
+                for s, e, c, _ in runs[1 + seen.is_valid :]:  # the whole text and lines
+                    for k in range(len(s)):
+                        np.minimum(first[s[k] : e[k]], c[k], out=first[s[k] : e[k]])
+                start, end, _, goes = (np.concatenate(x).astype(np.int64) for x in zip(*runs, strict=True))
+                step = np.zeros((2, n + 1), np.int64)
                 np.add.at(step, (goes, start), 1)
                 np.add.at(step, (goes, end), -1)
-                for c in np.unique(least)[::-1]:  # the smallest is written last
-                    own = np.zeros(n + 1, np.int64)
-                    np.add.at(own, start[least == c], 1)
-                    np.add.at(own, end[least == c], -1)
-                    first[np.cumsum(own[:n]) > 0] = c
                 stays, gone = (np.cumsum(x[:n]) > 0 for x in step)
                 kind = np.where(gone, 2, stays)  # what another document keeps goes
                 edge = np.flatnonzero(np.diff(kind, prepend=0, append=0)).tolist()
@@ -226,7 +236,7 @@ def _spans(rows: DataFrame, id_col: str, passage_words: int) -> DataFrame:
                         whole.append([x])
                 for part in whole:
                     if part[-1][1] - part[0][0] >= passage_words:
-                        out += [(doc, marks[s][0], marks[e - 1][1], e - s, int(first[s:e].min()), bool(kind[s] == 2)) for s, e in part]
+                        out += [(doc, int(opens[s]), int(closes[e - 1]), e - s, int(first[s:e].min()), bool(kind[s] == 2)) for s, e in part]
             cols = list(zip(*out, strict=True)) or [()] * 6
             ids = [pa.array([None if x == _LAST else x for x in cols[k]], pa.int64()) for k in (0, 4)]
             yield pa.RecordBatch.from_arrays([ids[0], *(pa.array(cols[k], pa.int64()) for k in (1, 2, 3)), ids[1], pa.array(cols[5], pa.bool_())], names=[id_col, *_KINDS])

@@ -358,6 +358,21 @@ def test_substring_dedup_similar_lines(spark):
     assert got == {1: (100, 1, False), 2: (100, 1, True)}
 
 
+def test_substring_dedup_unrelated_lines_share_no_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(61)
+    # 8,000 lines without a common shingle; with bands of 32 bits dozens of pairs would meet by chance.
+    rows = [(k, "\n".join(" ".join(f"{x:x}" for x in line) for line in rng.integers(0, 1 << 40, (4, 100)))) for k in range(2000)]
+    rows += [(5000, rows[0][1] + " more"), (5001, rows[1][1] + " more")]
+    met = []
+
+    def spy(keyed, linker):
+        met.append(keyed.groupBy("key").agg(F.collect_set("node").alias("x")).where("size(x) > 1").count())
+
+    monkeypatch.setattr(substring_dedup, "link", spy)
+    assert substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).count() > 0
+    assert 0 < met[0] <= 2 * substring_dedup.BANDS  # of the two lines with a near copy
+
+
 def test_ctw_against_recursion(spark, empty):
     rows = [(i, t) for i, t in enumerate([None, "", "abab abba", "abab baba", "banana band", "banana band a", "xyz abab", "ab"])]
     got = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=12, shards=3).collect()}
