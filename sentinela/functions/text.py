@@ -171,10 +171,15 @@ def _cut(text: Column, marked: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bound(text: Column, body: Callable[[Column, Column], Column]) -> Column:
     """``body`` of the text and of whether it has a digit, both evaluated once."""
-    once = F.array(F.struct(text.alias("text"), F.coalesce(text.rlike("[0-9]"), F.lit(False)).alias("digits")))
-    return F.get(F.transform(once, lambda x: body(x["text"], x["digits"])), F.lit(0))
+    both = F.struct(text.alias("text"), F.coalesce(text.rlike("[0-9]"), F.lit(False)).alias("digits"))
+    return once(both, lambda x: body(x["text"], x["digits"]))
 
 
 def _marked(text: Column, source: str, regex: str, mark: str, digits: Column | None) -> Column:
@@ -216,10 +221,10 @@ def disjoint(found: Column, fields: list[str]) -> Column:
     at or after the last kept end. ``found`` has start, end, prio and ``fields``."""
     keyed = F.transform(found, lambda f: F.struct(f["start"].alias("start"), (-f["end"]).alias("neg"), f["prio"].alias("prio"), *[f[x].alias(x) for x in fields]))
     as_out = lambda f: F.struct(*[f[x].alias(x) for x in fields[:2]], f["start"].alias("start"), (-f["neg"]).alias("end"), *[f[x].alias(x) for x in fields[2:]])
-    kept = F.aggregate(
-        F.sort_array(keyed),
-        F.struct(F.lit(-1).alias("last"), F.slice(keyed, 1, 0).alias("kept")),
+    walk = lambda ordered: F.aggregate(
+        ordered,
+        F.struct(F.lit(-1).alias("last"), F.slice(ordered, 1, 0).alias("kept")),
         lambda acc, f: F.when(f["start"] >= acc["last"], F.struct((-f["neg"]).alias("last"), F.concat(acc["kept"], F.array(f)).alias("kept"))).otherwise(acc),
         lambda acc: acc["kept"],
     )
-    return F.transform(kept, as_out)
+    return F.transform(once(F.sort_array(keyed), walk), as_out)

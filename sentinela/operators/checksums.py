@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sentinela.functions.text import once
 
-def _digits(raw: Column) -> Column:
-    return F.regexp_replace(raw, "[^0-9]", "")
+
+def _of_digits(rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A rule over the digits of a formatted number, which are taken out once."""
+    return lambda raw: once(F.regexp_replace(raw, "[^0-9]", ""), rule)
 
 
 def _at(d: Column, i: int) -> Column:
@@ -32,15 +35,14 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def valid_cpf(raw: Column) -> Column:
-    d = _digits(raw)
+@_of_digits
+def valid_cpf(d: Column) -> Column:
     check = lambda n: (_sum(d, range(n + 1, 1, -1)) * 10) % 11 % 10  # noqa: E731  10 counts as 0
     return _sure(_shape(d, 11) & (check(9) == _at(d, 9)) & (check(10) == _at(d, 10)))
 
 
-def valid_cnpj(raw: Column) -> Column:
-    d = _digits(raw)
-
+@_of_digits
+def valid_cnpj(d: Column) -> Column:
     def check(weights: list[int]) -> Column:
         r = _sum(d, weights) % 11
         return F.when(r < 2, 0).otherwise(11 - r)
@@ -49,8 +51,8 @@ def valid_cnpj(raw: Column) -> Column:
     return _sure(_shape(d, 14) & (check(first) == _at(d, 12)) & (check([6, *first]) == _at(d, 13)))
 
 
-def valid_cnh(raw: Column) -> Column:
-    d = _digits(raw)
+@_of_digits
+def valid_cnh(d: Column) -> Column:
     r1 = _sum(d, range(9, 0, -1)) % 11
     discount = F.when(r1 >= 10, 2).otherwise(0)
     r2 = _sum(d, range(1, 10)) % 11 - discount
@@ -59,19 +61,19 @@ def valid_cnh(raw: Column) -> Column:
     return _sure(_shape(d, 11) & (tens(r1) == _at(d, 9)) & (tens(r2) == _at(d, 10)))
 
 
-def valid_pis(raw: Column) -> Column:
-    d = _digits(raw)
+@_of_digits
+def valid_pis(d: Column) -> Column:
     v = 11 - _sum(d, [3, 2, 9, 8, 7, 6, 5, 4, 3, 2]) % 11
     return _sure(_shape(d, 11) & (F.when(v >= 10, 0).otherwise(v) == _at(d, 10)))
 
 
-def valid_cns(raw: Column) -> Column:
-    d = _digits(raw)
+@_of_digits
+def valid_cns(d: Column) -> Column:
     return _sure((F.length(d) == 15) & (_at(d, 0) >= 1) & (_sum(d, range(15, 0, -1)) % 11 == 0))
 
 
-def valid_titulo(raw: Column) -> Column:
-    d = _digits(raw)
+@_of_digits
+def valid_titulo(d: Column) -> Column:
     state = F.substring(d, 9, 2).cast("int")
     v1 = _sum(d, range(2, 10)) % 11 % 10
     v2 = _sum(d, range(7, 10), 8) % 11 % 10
