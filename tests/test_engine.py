@@ -262,3 +262,10 @@ def test_the_vault_scans_each_text_once(spark, tmp_path):
         kinds.append(plan.nodeName())
         plan = plan.children().apply(0)
     assert "Generate" in kinds and "Filter" not in kinds
+
+
+def test_texts_made_from_keys_are_scanned_on_all_cores(spark, tmp_path):
+    spark.range(2000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for make in (queries.synthetic, queries.spoken):
+        made = make(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(made) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in made) == 2000
